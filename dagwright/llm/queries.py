@@ -17,9 +17,45 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup,)}
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.chat import chat_format, conversations_of, masked_text, read_back
+
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    out = chat_format(conversations_of(rows), "record").withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_chat_format, op9_substring_dedup, op10_jump_sharding)}
 
 SQL = {
+    "op5_chat_format": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), e as (
+  select *, regexp_replace(replace(text, '\\', '\\\\'), '(<\||</?s>|\[/?INST\]|<<?/?SYS>>)', '\1\\', 'g') as esc from c
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  sum(length(esc) + length(role) + 24)::bigint as formatted_chars
+from e group by conv_id
+""",
     "op9_substring_dedup": r"""
 with w as (
   select row_number() over () as rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
