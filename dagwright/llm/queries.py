@@ -34,15 +34,49 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.pii import BASE, find_pii
+
+    out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, BASE), F.sha2(joined(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagwright.llm.sharding import shard
 
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_chat_format, op9_substring_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_chat_format, op6_pii, op9_substring_dedup, op10_jump_sharding)}
+
+#: DuckDB: kind, pattern, and the test of a match m whose digits are d.
+PII_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(nullif(ltrim(p, '0'), '') as int), 0) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", "length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda i: case when i % 2 = 0 then cast(d[length(d) - i] as int) else (cast(d[length(d) - i] as int) * 2) % 10 + (cast(d[length(d) - i] as int) * 2) // 10 end)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: case when ascii(c) >= 65 then ascii(c) - 55 else ascii(c) - 48 end)), lambda r, c: case when c > 9 then (r * 100 + c) % 97 else (r * 10 + c) % 97 end) = 1"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"regexp_matches(substr(t, greatest(start - 40, 0) + 1, least(start, 40)), '(?i)\b(?:ssn|social|security)\b')"),
+)
+
+
+def pii_sql() -> str:
+    each = " union all ".join(f"""
+select * from (select *, {rank} as rank, '{kind}' as kind from (select rid, t, m, regexp_replace(m, '[^0-9]', '', 'g') as d, b + list_sum(list_transform(list_slice(parts, 1, i), lambda p: length(p)))::bigint as start from (
+  select rid, t, parts, i, found[i] as m, coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda x: length(x))), 0)::bigint as b from (
+    select rid, t, parts, found, unnest(range(1, len(found) + 1)) as i from (select rid, t, regexp_extract_all(t, '{pattern}') as found, string_split_regex(t, '{pattern}') as parts from d))))) where {test}""" for rank, (kind, pattern, test) in enumerate(PII_SQL))
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents), s as ({each}),
+j as (select rid, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+  string_agg(kind || ':' || start || ':' || (start + length(m)), ',' order by start, rank) filter (rank < 4) as base, string_agg(kind || ':' || start || ':' || (start + length(m)), ',' order by start, rank) as spans from s group by rid)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join j using (rid)"""
+
 
 SQL = {
+    "op6_pii": pii_sql(),
     "op5_chat_format": r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
