@@ -43,13 +43,21 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, BASE), F.sha2(joined(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dagwright.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagwright.llm.sharding import shard
 
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_chat_format, op6_pii, op9_substring_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_chat_format, op6_pii, op7_packing, op9_substring_dedup, op10_jump_sharding)}
 
 #: DuckDB: kind, pattern, and the test of a match m whose digits are d.
 PII_SQL = (
