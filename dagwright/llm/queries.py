@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.exact_topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagwright.llm.substring import substring_dedup
 
@@ -23,6 +29,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagwright.llm.chat import chat_format, conversations_of, masked_text, read_back
 
@@ -57,7 +69,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_chat_format, op6_pii, op7_packing, op9_substring_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_nearest, op5_chat_format, op6_pii, op7_packing, op8_exact_topk, op9_substring_dedup, op10_jump_sharding)}
 
 #: DuckDB: kind, pattern, and the test of a match m whose digits are d.
 PII_SQL = (
@@ -84,6 +96,12 @@ from d left join j using (rid)"""
 
 
 SQL = {
+    "op8_exact_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+""",
     "op6_pii": pii_sql(),
     "op5_chat_format": r"""
 with c as (
