@@ -3,11 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dagwright.llm import near_dedup, packing, pii, substring, toxicity
 from dagwright.llm.common import written
 
-STAGES = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on these and their labels, doesn't call toxic."""
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.toxicity(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each class of near copies; documents without an id stay."""
+    gone = near_dedup.near_dedup(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words in repeated windows; texts that have none stay as they are."""
+    out = substring.substring_dedup(docs, window=35)
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(changed, F.col("kept_text")).otherwise(columns["text"])
+    columns["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(columns["n_chars"])
+    return out.select([x.alias(c) for c, x in columns.items()])
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with the kind of each span of personal data in its place."""
+    out = pii.find_pii(docs)
+    text = pii.masked(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
+    found = F.size("spans") > 0
+    out = out.withColumn("text", F.when(found, text).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_passages),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: SQL cannot train the classifier, sample sets or encode texts; tests/llm compare the stages with brute force.
 ORACLE_SQL = None
 
 

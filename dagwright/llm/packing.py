@@ -10,6 +10,7 @@ so each shard leaves one sequence unfilled at most.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,20 @@ class SegmentIds:
     """Ids of white-space-parted segments of texts, by the tokenizer, each segment encoded once.
 
     The vocabulary's normalizer and pre-tokenizer never look across white space and drop it, so a
-    text's ids are those of its segments in a row. The cache is cleared at LIMIT segments.
+    text's ids are those of its segments in a row. Closing punctuation after a letter or digit is a
+    token group of its own and case is dropped, so segments share the ids of their cores. The caches
+    are cleared when they are full.
     """
 
-    LIMIT = 400_000
+    LIMIT, CORES = 400_000, 1_000_000
+    CLOSING = ".,;:!?"
 
     def __init__(self, vocabulary: bytes, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.ids = kind, {}
+        self.code, self.ids, self.cores = {"<u2": "H", "<u4": "I"}[kind], {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # the separators \x1c to \x1f are white space to str.split() only
@@ -46,15 +50,31 @@ class SegmentIds:
         words = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
         if len(self.ids) > self.LIMIT:
             self.ids.clear()
-        new = list(set().union(*words).difference(self.ids))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, self.kind).tobytes()
+        self.add(set().union(*words).difference(self.ids))
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+    def add(self, new: set[str]) -> None:
+        parts, cores = [], self.cores
+        for w in new:
+            core = w.rstrip(self.CLOSING)
+            if core and core[-1].lower().isalnum():
+                # up to U+012F lower case is one character for one, whatever stands beside it
+                parts.append((w, core.lower() if max(core) < "\u0130" else core, w[len(core) :]))
+            else:
+                parts.append((w, w, ""))
+        if len(cores) > self.CORES:
+            cores.clear()
+        missing = list({x for _, core, tail in parts for x in (core, tail)}.difference(cores))
+        for i in range(0, len(missing), 4096):
+            some = missing[i : i + 4096]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                cores[x] = array(self.code, e.ids).tobytes()
+        for w, core, tail in parts:
+            self.ids[w] = cores[core] + cores[tail] if tail else cores[core]
+
+
 def assign(lengths: np.ndarray, room: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Packs pieces, descending, into the fewest sequences: (piece, start in it, length, sequence, offset)."""
     total = int(lengths.sum())

@@ -35,6 +35,14 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagwright.llm.toxicity import fit, held_out, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagwright.llm.chat import chat_format, conversations_of, masked_text, read_back
 
@@ -69,7 +77,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_nearest, op5_chat_format, op6_pii, op7_packing, op8_exact_topk, op9_substring_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_toxicity, op5_chat_format, op6_pii, op7_packing, op8_exact_topk, op9_substring_dedup, op10_jump_sharding)}
 
 #: DuckDB: kind, pattern, and the test of a match m whose digits are d.
 PII_SQL = (

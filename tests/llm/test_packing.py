@@ -70,3 +70,15 @@ def test_balance_and_descending():
     assert sum(fill.values()) == n.sum() and len(fill) == -(-n.sum() // 2048)
     assert len(out) < 500 * 1.4
     assert np.std(list(cost.values())) < 0.25 * np.mean(list(cost.values()))
+
+
+def test_segments_have_the_tokenizers_ids():
+    from dagwright.llm.packing import SegmentIds
+
+    with open(PATH, "rb") as f:
+        own = SegmentIds(f.read(), "<u4")
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    texts = ["It's, I'LL. can't!? É,È; ẞ. İ, ΑΣ. x². a.,b é, ́. 3.5, '' 's, ...", "<|endoftext|>, Don't!! ., é.́  x"]
+    for x, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
