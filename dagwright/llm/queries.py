@@ -29,6 +29,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dagwright.llm.bpe import bpe_decode, bpe_encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumn("decoded", bpe_decode(F.col("ids"), path))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagwright.llm.ann import nearest
 
@@ -77,7 +87,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_toxicity, op5_chat_format, op6_pii, op7_packing, op8_exact_topk, op9_substring_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_byte_bpe, op3_nearest, op4_toxicity, op5_chat_format, op6_pii, op7_packing, op8_exact_topk, op9_substring_dedup, op10_jump_sharding)}
 
 #: DuckDB: kind, pattern, and the test of a match m whose digits are d.
 PII_SQL = (
