@@ -1,0 +1 @@
+"""Empty on purpose: every operator is a batch computation over one table."""
