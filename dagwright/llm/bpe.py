@@ -182,7 +182,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "do
     def apart(batches):
         import regex
 
-        split = kept_by_worker(f"pattern{pattern}", lambda: regex.compile(pattern)).findall
+        split = kept_by_worker("bpe", f"pattern{pattern}", lambda: regex.compile(pattern)).findall
         rows = ((d, t or "") for b in batches for d, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True))
         for x in taken_apart(rows, split):
             words = x["words"]

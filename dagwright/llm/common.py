@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -50,9 +51,12 @@ def pieces(total: int, each: int) -> int:
     return max(1, -(-int(total) // int(each)))
 
 
-def kept_by_worker(name: str, make):
-    """An object that a Python worker builds once and keeps over its tasks."""
+def kept_by_worker(group: str, name: str, make):
+    """An object that a Python worker builds once and keeps over its tasks, until one of another group is asked for."""
     at = sys.modules.setdefault("_dagwright_kept", types.ModuleType("_dagwright_kept")).__dict__
-    if name not in at:
-        at[name] = make()
-    return at[name]
+    if at.get("group") != group:
+        at["group"], at["kept"] = group, {}
+        gc.collect()
+    if name not in at["kept"]:
+        at["kept"][name] = make()
+    return at["kept"][name]

@@ -72,7 +72,7 @@ def draws(samples: int) -> tuple[np.ndarray, ...]:
         r = g.gamma(2.0, 1.0, n).astype(np.float32)
         return g.integers(1, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.float32(1) / r, r, np.log(g.gamma(2.0, 1.0, n)).astype(np.float32), g.random(n, np.float32)
 
-    return kept_by_worker(f"draws{samples}", make)
+    return kept_by_worker("windows", f"draws{samples}", make)
 
 
 def sampled(s: np.ndarray, w: np.ndarray, samples: int) -> np.ndarray:

@@ -34,7 +34,7 @@ class SegmentIds:
     are cleared when they are full.
     """
 
-    LIMIT, CORES = 400_000, 1_000_000
+    LIMIT, CORES = 300_000, 700_000
     CLOSING = ".,;:!?"
 
     def __init__(self, vocabulary: bytes, kind: str):
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, room: int = 2048, do
 
         small = Tokenizer.from_str(model.value.decode()).get_vocab_size() <= 1 << 16
         kind = "<u2" if small else "<u4"
-        segments = kept_by_worker(f"segments{zlib.crc32(model.value)}", lambda: SegmentIds(model.value, kind))
+        segments = kept_by_worker("packing", f"segments{zlib.crc32(model.value)}", lambda: SegmentIds(model.value, kind))
         last = np.array([end_id], kind).tobytes()
         for batch in batches:
             texts = batch["text"].to_pylist()

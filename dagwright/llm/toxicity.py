@@ -213,7 +213,7 @@ class Model:
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            finder = kept_by_worker(key, lambda: Finder(names))
+            finder = kept_by_worker("toxicity", key, lambda: Finder(names))
             z = np.array([intercept + sum(weights[i] for i in sorted(finder(t or ""))) for t in texts], float)
             return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 

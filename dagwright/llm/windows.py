@@ -16,7 +16,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 class WordHashes(dict):
     """Word to 64-bit hash; cleared when it holds LIMIT words, which only costs hashing them again."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -27,7 +27,7 @@ class WordHashes(dict):
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i under n."""
-    at = kept_by_worker("powers", dict)
+    at = kept_by_worker("windows", "powers", dict)
     if len(at.get("up", ())) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length())
         for key, base in (("up", BASE), ("down", INVERSE)):
@@ -62,7 +62,7 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def split_words(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words (parted by ASCII white space) of each text, their number, and all their hashes in order."""
-    hashes = kept_by_worker("word_hashes", WordHashes)
+    hashes = kept_by_worker("windows", "word_hashes", WordHashes)
     words = [t.split() for t in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     out = np.empty(int(lens.sum()), np.uint64)
