@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from dagwright.operators.dataset import Data
 from dagwright.operators.independence import DataTest
 from dagwright.plans.graph import ARROW, CIRCLE, CPDAG, PAG, Graph
 from dagwright.plans.knowledge import Knowledge
@@ -218,3 +219,7 @@ def pag(dag: Graph, latent: list[str] | None = None) -> Graph:
     orient_colliders(g, rules, [(a, b, c) for a, b, c in unshielded(g) if b not in seps[pair(a, c)]])
     rules.run(True)
     return g
+
+
+def skeleton_of(data: Data, alpha: float) -> Graph:
+    return adjacency_search(DataTest(data), alpha)[0]
