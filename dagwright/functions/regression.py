@@ -132,29 +132,24 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, most: int = 100) ->
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd = np.where(sd > 0, sd, 1)
     z = (x - mean) / sd
-    # positions at which a risk set (times from the largest down) ends, and its events
+    # risk sets, times from the largest down, end where a time does; its events stand first among its rows
     ends = np.append(np.flatnonzero(np.diff(time)), len(time) - 1)
     firsts = np.append(0, ends[:-1] + 1)
+    ties = np.add.reduceat(event, firsts).astype(int)
+    # one row for each event: where its risk set ends, which time it has, and Efron's share of the tied events
+    which = np.repeat(np.arange(len(ends)), ties)
+    share = (np.arange(len(which)) - np.repeat(np.cumsum(ties) - ties, ties)) / np.maximum(ties[which], 1)
+    end, died = ends[which], event > 0
 
     def at(b):
         w = np.exp(np.clip(z @ b, -500, 500))
-        s0, s1 = np.cumsum(w), np.cumsum(w[:, None] * z, axis=0)
-        s2 = np.cumsum(w[:, None, None] * z[:, :, None] * z[:, None, :], axis=0)
-        ll, grad, hess = 0.0, np.zeros(k), np.zeros((k, k))
-        for a, e in zip(firsts, ends, strict=True):
-            m = int(event[a : e + 1].sum())
-            if not m:
-                continue
-            d = slice(a, a + m)  # events stand first among their time
-            ll += float((z[d] @ b).sum())
-            grad += z[d].sum(axis=0)
-            t0, t1, t2 = w[d].sum(), (w[d, None] * z[d]).sum(axis=0), (w[d, None, None] * z[d, :, None] * z[d, None, :]).sum(axis=0)
-            for j in range(m):
-                r0, r1, r2 = s0[e] - j / m * t0, s1[e] - j / m * t1, s2[e] - j / m * t2
-                ll -= math.log(r0)
-                grad -= r1 / r0
-                hess += r2 / r0 - np.outer(r1, r1) / r0**2
-        return ll, grad, hess
+        wz = w[:, None] * z
+        wzz = wz[:, :, None] * z[:, None, :]
+        sums = [np.cumsum(v, axis=0)[end] - share.reshape(-1, *[1] * (v.ndim - 1)) * np.add.reduceat(np.where(died.reshape(-1, *[1] * (v.ndim - 1)), v, 0), firsts, axis=0)[which] for v in (w, wz, wzz)]
+        r0, r1, r2 = sums
+        r1 = r1 / r0[:, None]
+        ll = float((z[died] @ b).sum() - np.log(r0).sum())
+        return ll, z[died].sum(axis=0) - r1.sum(axis=0), (r2 / r0[:, None, None]).sum(axis=0) - r1.T @ r1
 
     b, last = np.zeros(k), None
     for _ in range(most):

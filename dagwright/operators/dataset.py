@@ -63,11 +63,11 @@ def npn(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     if not columns:
         return df
-    n = df.count()
+    given, n = df, df.count()
     for c in columns:
         col = F.col(f"`{c}`").cast("double")
-        mean, sd = df.agg(F.avg(col), F.stddev_samp(col)).first()
-        scores = rank_scores(df, c, n)
+        mean, sd = given.agg(F.avg(col), F.stddev_samp(col)).first()
+        scores = rank_scores(given, c, n)
         mapped = scores.select("_v", (quantiles("_p") * F.lit(sd or 0.0) + F.lit(mean)).alias("_q"))
         df = df.withColumn("_v", col).join(mapped, "_v").drop("_v").withColumn(c, F.col("_q")).drop("_q")
     return df
