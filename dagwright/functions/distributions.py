@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -85,15 +86,7 @@ def normal_two_sided(z: float) -> float:
 
 
 def normal_quantile(p: float) -> float:
-    """The standard normal quantile: bisection bracketed by tails, polished by Newton steps on erfc."""
+    """The standard normal quantile; infinite at 0 and 1."""
     if not 0 < p < 1:
         return math.nan if not 0 <= p <= 1 else math.copysign(math.inf, p - 0.5)
-    q, sign = (p, -1.0) if p < 0.5 else (1 - p, 1.0)
-    lo, hi = 0.0, 40.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        if math.erfc(mid / math.sqrt(2)) / 2 > q:
-            lo = mid
-        else:
-            hi = mid
-    return sign * (lo + hi) / 2
+    return NormalDist().inv_cdf(p)
