@@ -134,11 +134,16 @@ class Data:
         self.design = df.select(F.array(*exprs).alias("x")) if exprs else None
         self.local = None
         if self.n * max(1, self.width) <= local_cells and exprs:
-            self.local = np.array([r.x for r in self.design.collect()], float).reshape(self.n, self.width)
+            cells = self.design.toArrow()["x"]
+            self.local = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in cells.chunks)]).reshape(-1, self.width)
         self._gram = None
         if check:
             self.check()
 
+    def __getstate__(self) -> dict:
+        """What tasks need of it: names and columns, no rows."""
+        return self.__dict__ | {"df": None, "design": None, "local": None}
+
     def kind(self, name: str) -> str:
         return self.variables[self.index[name]].kind
 

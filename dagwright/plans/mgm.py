@@ -33,7 +33,7 @@ class Mgm:
     def __init__(self, data: Data, scale: tuple[np.ndarray, np.ndarray] | None = None):
         if any(v.kind == "censored" for v in data.variables):
             raise ValueError("a mixed graphical model has no censored variables")
-        self.data = data
+        self.data, self.held = data, None
         self.xs = [v.name for v in data.variables if v.kind == "continuous"]
         self.ds = [v.name for v in data.variables if v.kind == "discrete"]
         self.x = [data.columns[v][0] for v in self.xs]
@@ -73,15 +73,18 @@ class Mgm:
             parts += [1 - own.sum(axis=1, keepdims=True), own]
         return x, np.hstack(parts) if parts else np.zeros((len(m), 0))
 
-    def smooth(self, v: np.ndarray, data: Data | None = None) -> tuple[float, np.ndarray]:
-        """Mean loss and gradient; infinite where a precision is not positive."""
+    def smooth(self, v: np.ndarray, data: Data | None = None, slope: bool = True) -> tuple[float, np.ndarray]:
+        """Mean loss and, with slope, gradient; infinite where a precision is not positive."""
         a, b, B, th, ph, c = self.split(v)
         if (b <= 0).any():
             return math.inf, np.zeros_like(v)
         data = data or self.data
+        held = None
+        if data is self.data and data.local is not None:
+            held = self.held = self.held or self.blocks(data.local)
 
         def passed(m):
-            x, d = self.blocks(m)
+            x, d = held or self.blocks(m)
             fit = (a + x @ B + d @ th.T) / b
             res = fit - x
             eta = c + x @ th + d @ ph
@@ -94,11 +97,15 @@ class Mgm:
                 prob[:, i:j] = z / s
                 loss += float((np.log(s) + top).sum() - (e * d[:, i:j]).sum())
             loss += float(-0.5 * len(x) * np.log(b).sum() + 0.5 * (b * res**2).sum())
+            if not slope:
+                return np.array([loss])
             miss = prob - d
             gb, gp = res.T @ x, d.T @ miss
             return np.concatenate([[loss], self.join([res.sum(axis=0), (-0.5 / b + 0.5 * res**2 - res * fit).sum(axis=0), gb + gb.T, res.T @ d + x.T @ miss, gp + gp.T, miss.sum(axis=0)])])
 
-        got = data.sum_rows(passed, 1 + self.size) / max(1, data.n)
+        got = data.sum_rows(passed, 1 + self.size * slope) / max(1, data.n)
+        if not slope:
+            return float(got[0]), v
         _, _, gB, _, gP, _ = parts = self.split(got[1:])
         np.fill_diagonal(gB, 0)
         gP[self.own] = 0
@@ -131,12 +138,12 @@ class Mgm:
         """Accelerated proximal gradient with backtracking and restarts; it ends when steps are small and edges stay."""
         x = self.first.copy() if start is None else start.copy()
         y, t, big, still, edges = x.copy(), 1.0, 1.0, 0, None
-        f_x, last = self.smooth(x)[0], math.inf
+        f_x, last = self.smooth(x, slope=False)[0], math.inf
         for _ in range(most):
             f, g = self.smooth(y)
             while True:
                 new, pen = self.prox(y - g / big, 1 / big, lam)
-                f_new, d = self.smooth(new)[0], new - y
+                f_new, d = self.smooth(new, slope=False)[0], new - y
                 if f_new <= f + float(g @ d) + big / 2 * float(d @ d) + 1e-12 or big > 1e8:
                     break
                 big *= 2

@@ -144,7 +144,7 @@ def mgm_cv(data: Data, lambdas: list[float] | None = None, n_lambda: int = 20, f
         for lam in lams:
             got = model.learn(triple(lam), start)
             start = got.params
-            losses[lam].append(model.smooth(start, test)[0])
+            losses[lam].append(model.smooth(start, test, slope=False)[0])
     rows = [{"lambda": lam} | summary(losses[lam]) for lam in lams]
     best, se = min(rows, key=lambda r: r["mean"])["lambda"], rows[one_se(rows)]["lambda"]
     return {"rows": rows, "min": Mgm(data).learn(triple(best)).graph, "1se": Mgm(data).learn(triple(se)).graph}

@@ -61,3 +61,8 @@ def test_passes_over_rows_agree_with_the_local_matrix(spark):
     a, b = Data(df), Data(df, local_cells=0)
     assert b.local is None and abs(a.gram() - b.gram()).max() < 1e-6
     assert pc_stable(a).lines() == pc_stable(b).lines()
+    from dagwright.plans.mgm import Mgm
+
+    one, two = Mgm(a), Mgm(b)
+    (f, g), (h, k) = one.smooth(one.first), two.smooth(two.first)
+    assert abs(f - h) < 1e-9 and abs(g - k).max() < 1e-9
