@@ -11,6 +11,7 @@ from dagwright.operators import graph_frames as gf
 from dagwright.operators.dataset import Data, finite, rank_scores
 from dagwright.operators.independence import DataTest
 from dagwright.plans.constraint import adjacency_search, fci_stable, pag, pc_stable
+from dagwright.plans.coxmgm import coxmgm, coxmgm_path
 from dagwright.plans.graph import CPDAG, DAG, Graph, cpdag, graph_of
 from dagwright.plans.mgm import mgm, mgm_path
 from dagwright.plans.resample import bootstrap, fold_of, mgm_cv, search_cv, stars, steps, subsample_size
@@ -370,15 +371,41 @@ def graph_cpdag(spark, sf_dir):
     return graph_rows(spark, cpdag(graph_of(list(NODES), TRUTH, DAG)))
 
 
+def survival_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.struct(F.col("value").alias("time"), (F.col("event_type") != "click").cast("int").alias("event")).alias("T"), F.hour("ts").cast("double").alias("hour"), F.col("user_id").cast("double").alias("user"))
+
+
 @query()
 def survival_tests(spark, sf_dir):
     """Independence of event times (a click ends observation) from the hour and the user, given each other."""
-    t = read(spark, sf_dir, "events").select(F.struct(F.col("value").alias("time"), (F.col("event_type") != "click").cast("int").alias("event")).alias("T"), F.hour("ts").cast("double").alias("hour"), F.col("user_id").cast("double").alias("user"))
     tests = [("T", "hour", ()), ("T", "user", ()), ("T", "hour", ("user",)), ("hour", "user", ())]
-    p = DataTest(Data(t)).p_values(tests)
+    p = DataTest(Data(survival_frame(spark, sf_dir))).p_values(tests)
     return spark.createDataFrame([(x, y, " ".join(z), float(v)) for (x, y, z), v in zip(tests, p, strict=True)], "x string, y string, z string, p double")
 
 
+@query()
+def coxmgm_edges(spark, sf_dir):
+    return graph_rows(spark, coxmgm(Data(survival_frame(spark, sf_dir)), 0.001))
+
+
+@query()
+def coxmgm_path_rows(spark, sf_dir):
+    rows = coxmgm_path(Data(survival_frame(spark, sf_dir)), [0.1, 0.01, 0.001])["rows"]
+    return spark.createDataFrame([tuple(map(float, r.values())) for r in rows], "lambda double, loglik double, nParams double, AIC double, BIC double")
+
+
+@query()
+def fci_stars_rows(spark, sf_dir):
+    rows = stars(Data(mixed(spark, sf_dir)), [0.001, 0.05], number=3, search="fci")["rows"]
+    return spark.createDataFrame([(r["alpha"], float(r["instability"])) for r in rows], "alpha double, instability double")
+
+
+@query()
+def mgm_fci_cv_rows(spark, sf_dir):
+    rows = search_cv(Data(mixed(spark, sf_dir)), alphas=(0.01,), lambdas=[0.2, 0.1], folds=2, search="fci")["rows"]
+    return spark.createDataFrame([(r["lambda"], r["alpha"], r["orientRule"], r["mean"], r["se"], r["size"]) for r in rows], "lambda double, alpha double, orientRule string, mean double, se double, size double")
+
+
 @query()
 def folds(spark, sf_dir):
     return fold_of(mixed(spark, sf_dir), 5, 0).groupBy(F.col("_fold").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
