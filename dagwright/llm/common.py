@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +53,22 @@ def pieces(total: int, each: int) -> int:
     return max(1, -(-int(total) // int(each)))
 
 
+def freed() -> None:
+    """Hands memory that nothing uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def kept_by_worker(group: str, name: str, make):
     """An object that a Python worker builds once and keeps over its tasks, until one of another group is asked for."""
     at = sys.modules.setdefault("_dagwright_kept", types.ModuleType("_dagwright_kept")).__dict__
     if at.get("group") != group:
         at["group"], at["kept"] = group, {}
-        gc.collect()
+        freed()
     if name not in at["kept"]:
         at["kept"][name] = make()
     return at["kept"][name]
