@@ -124,16 +124,34 @@ def likelihood_ratio(full: float, less: float, df: int) -> tuple[float, float]:
     return x, chi2_upper(x, df)
 
 
-def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, most: int = 100) -> Fit:
-    """Proportional hazards by Newton steps on the partial likelihood with Efron's correction of ties."""
-    order = np.lexsort((-event, -time))
-    time, event, x = time[order], event[order], x[order]
+def strata_cuts(strata: np.ndarray) -> np.ndarray:
+    """Where runs of one stratum start, and the end."""
+    return np.concatenate(([0], np.flatnonzero(np.diff(strata)) + 1, [len(strata)]))
+
+
+def running(v: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Cumulative sums along the first axis, from nothing again at each cut."""
+    out = np.empty_like(v)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        np.cumsum(v[a:b], axis=0, out=out[a:b])
+    return out
+
+
+def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, most: int = 100, strata: np.ndarray | None = None) -> Fit:
+    """Proportional hazards by Newton steps on the partial likelihood with Efron's correction of ties.
+
+    Risk sets hold rows of one stratum.
+    """
+    strata = np.zeros(len(time)) if strata is None else strata
+    order = np.lexsort((-event, -time, strata))
+    time, event, x, strata = time[order], event[order], x[order], strata[order]
+    cuts = strata_cuts(strata)
     k = x.shape[1]
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd = np.where(sd > 0, sd, 1)
     z = (x - mean) / sd
     # risk sets, times from the largest down, end where a time does; its events stand first among its rows
-    ends = np.append(np.flatnonzero(np.diff(time)), len(time) - 1)
+    ends = np.append(np.flatnonzero((np.diff(time) != 0) | (np.diff(strata) != 0)), len(time) - 1)
     firsts = np.append(0, ends[:-1] + 1)
     ties = np.add.reduceat(event, firsts).astype(int)
     # one row for each event: where its risk set ends, which time it has, and Efron's share of the tied events
@@ -145,7 +163,7 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, most: int = 100) ->
         w = np.exp(np.clip(z @ b, -500, 500))
         wz = w[:, None] * z
         wzz = wz[:, :, None] * z[:, None, :]
-        sums = [np.cumsum(v, axis=0)[end] - share.reshape(-1, *[1] * (v.ndim - 1)) * np.add.reduceat(np.where(died.reshape(-1, *[1] * (v.ndim - 1)), v, 0), firsts, axis=0)[which] for v in (w, wz, wzz)]
+        sums = [running(v, cuts)[end] - share.reshape(-1, *[1] * (v.ndim - 1)) * np.add.reduceat(np.where(died.reshape(-1, *[1] * (v.ndim - 1)), v, 0), firsts, axis=0)[which] for v in (w, wz, wzz)]
         r0, r1, r2 = sums
         r1 = r1 / r0[:, None]
         ll = float((z[died] @ b).sum() - np.log(r0).sum())

@@ -1,7 +1,7 @@
 """A typed data set over any DataFrame: kinds, codes, missing rows, ranks, variance checks, sums over rows.
 
 Continuous columns are numbers, discrete ones strings or booleans coded by sorted level, censored ones
-structs of time and event. All passes over rows go through `Data.sum_rows`, which adds up arrays that
+structs of time and event, and of a stratum if they have a field `strata`. All passes over rows go through `Data.sum_rows`, which adds up arrays that
 blocks of rows yield; its result is as large as a function of the columns, never of the rows.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,8 @@ def kind_of(f: T.StructField) -> str:
     if isinstance(f.dataType, (T.StringType, T.BooleanType)):
         return "discrete"
     if isinstance(f.dataType, T.StructType) and {"time", "event"} <= set(f.dataType.names):
+        if "strata" in f.dataType.names and not isinstance(f.dataType["strata"].dataType, (T.StringType, T.BooleanType, T.IntegralType)):
+            raise TypeError(f"strata of {f.name} are {f.dataType['strata'].dataType.simpleString()}; cast them to a string or an integer")
         return "censored"
     raise TypeError(f"column {f.name} is {f.dataType.simpleString()}; cast it to a number, a string or struct<time, event>")
 
@@ -94,6 +96,19 @@ def rank_scores(df: DataFrame, c: str, n: int, parts: int = 64) -> DataFrame:
     return counts.withColumn("_below", below).join(F.broadcast(totals), "_part").select("_v", ((F.col("_before") + F.col("_below") + (F.col("_n") + 1) / 2) / (n + 1)).alias("_p"))
 
 
+def stratum_code(c: Column) -> Column:
+    """A stratum as a number: 52 bits of a hash, which a double holds."""
+    return F.shiftrightunsigned(F.xxhash64(c["strata"].cast("string")), 12).cast("double")
+
+
+def check_strata(df: DataFrame, columns: list[str]) -> None:
+    for c in columns:
+        col = F.col(f"`{c}`")
+        named = df.select(col["strata"].cast("string").alias("s"), stratum_code(col).alias("code")).distinct()
+        if not named.groupBy("code").count().where("count > 1").isEmpty():
+            raise ValueError(f"two strata of {c} have one hash")
+
+
 class Data:
     """A data set of p variables, in dummy-expanded design columns."""
 
@@ -114,6 +129,8 @@ class Data:
         if discrete:
             sets = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"_{i}") for i, c in enumerate(discrete)]).first()
             levels = {c: tuple(sets[i]) for i, c in enumerate(discrete)}
+        strata = [c for c, k in kinds.items() if k == "censored" and "strata" in df.schema[c].dataType.names]
+        check_strata(df, strata)
         self.df, self.n = df, int(found["n"])
         self.variables = [Variable(c, kinds[c], levels.get(c, ())) for c in names]
         self.index = {v.name: i for i, v in enumerate(self.variables)}
@@ -127,6 +144,8 @@ class Data:
                 own = [(F.when(c.cast("string") == x, 1.0).otherwise(0.0), v.name if len(v.levels) == 2 else f"{v.name}MULTINOM.{x}") for x in v.levels[1:]]
             else:
                 own = [(c["time"].cast("double"), f"{v.name}.time"), (c["event"].cast("double"), f"{v.name}.event")]
+                if v.name in strata:
+                    own.append((stratum_code(c), f"{v.name}.strata"))
             self.columns[v.name] = list(range(len(exprs), len(exprs) + len(own)))
             exprs += [e for e, _ in own]
             self.labels += [x for _, x in own]
@@ -144,6 +163,13 @@ class Data:
         """What tasks need of it: names and columns, no rows."""
         return self.__dict__ | {"df": None, "design": None, "local": None}
 
+    def survival(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times, events and strata (all 0 if there are none) of a censored variable, from the local matrix."""
+        if self.local is None:
+            raise ValueError("Cox fits need a data set of at most LOCAL_CELLS cells")
+        t, e, *s = self.columns[name]
+        return self.local[:, t], self.local[:, e], self.local[:, s[0]] if s else np.zeros(self.n)
+
     def kind(self, name: str) -> str:
         return self.variables[self.index[name]].kind
 

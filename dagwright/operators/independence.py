@@ -119,15 +119,13 @@ class DataTest:
             x, y = y, x
         if kind(x) != "censored" or any(kind(v) == "censored" for v in z):
             return 0.0
-        if self.data.local is None:
-            raise ValueError("Cox fits need a data set of at most LOCAL_CELLS cells")
-        t, e = self.data.columns[x]
+        t, e, s = self.data.survival(x)
         m, b, c = self.data.local, self.data.columns[y], self.columns(z)
         try:
-            full = cox(m[:, t], m[:, e], m[:, [*b, *c]])
+            full = cox(t, e, m[:, [*b, *c]], strata=s)
             if len(b) == 1:
                 return float(full.p[0])
-            return chi2_upper(max(2 * (full.loglik - cox(m[:, t], m[:, e], m[:, c]).loglik), 1e-15), len(b))
+            return chi2_upper(max(2 * (full.loglik - cox(t, e, m[:, c], strata=s).loglik), 1e-15), len(b))
         except (ValueError, np.linalg.LinAlgError):
             return 0.0
 

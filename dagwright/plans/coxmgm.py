@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 
+from dagwright.functions.regression import running, strata_cuts
 from dagwright.operators.dataset import Data
 from dagwright.plans.graph import UNDIRECTED, Graph
 from dagwright.plans.mgm import Mgm
@@ -23,16 +24,14 @@ def five(lam) -> tuple[float, ...]:
 
 
 class CoxTerm:
-    """Mean negative partial log-likelihood (Breslow's form of ties) of one censored variable, with group penalties."""
+    """Mean negative partial log-likelihood (Breslow's form of ties, risk sets by stratum) of one censored variable, with group penalties."""
 
     def __init__(self, data: Data, name: str):
-        if data.local is None:
-            raise ValueError("censored variables need a data set of at most LOCAL_CELLS cells")
-        t, e = data.columns[name]
-        order = np.argsort(-data.local[:, t], kind="stable")
-        m = data.local[order]
-        self.event = m[:, e]
-        ends = np.append(np.flatnonzero(np.diff(m[:, t])), len(m) - 1)
+        t, e, s = data.survival(name)
+        order = np.lexsort((-t, s))
+        m, t, self.event, s = data.local[order], t[order], e[order], s[order]
+        self.cuts = strata_cuts(s)
+        ends = np.append(np.flatnonzero((np.diff(t) != 0) | (np.diff(s) != 0)), len(m) - 1)
         self.last = np.repeat(ends, np.diff(np.append(-1, ends)))
         self.groups, cols = [], []
         for v in data.variables:
@@ -47,12 +46,12 @@ class CoxTerm:
     def smooth(self, b: np.ndarray) -> tuple[float, np.ndarray]:
         eta = np.clip(self.x @ b, -50, 50)
         w = np.exp(eta)
-        risk = np.cumsum(w)[self.last]
+        risk = running(w, self.cuts)[self.last]
         loss = -float((self.event * (eta - np.log(risk))).sum()) / len(w)
         # every row is at risk at each event time up to its own: sums of 1 / risk from the smallest time on
         share = np.zeros(len(w))
         np.add.at(share, self.last, self.event / risk)
-        at_risk = np.cumsum(share[::-1])[::-1]
+        at_risk = running(share[::-1], len(w) - self.cuts[::-1])[::-1]
         return loss, self.x.T @ (w * at_risk - self.event) / len(w)
 
     def learn(self, continuous: float, discrete: float, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:

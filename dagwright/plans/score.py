@@ -51,8 +51,8 @@ class RegressionBic:
     def local(self, y: str, parents: frozenset[str]) -> float:
         key = (y, parents)
         if key not in self.known:
-            if parents and self.data.kind(y) == "censored" and self.data.local is None:  # no failed fit, so no score
-                raise ValueError("Cox scores need a data set of at most LOCAL_CELLS cells")
+            if parents and self.data.kind(y) == "censored":
+                self.data.survival(y)  # without a local matrix an error, no failed fit
             try:
                 self.known[key] = self.fitted(y, [c for v in sorted(parents) for c in self.data.columns[v]])
             except (ValueError, np.linalg.LinAlgError):
@@ -69,9 +69,9 @@ class RegressionBic:
             rest = s[own[0], own[0]] - s[own[0], cols] @ np.linalg.solve(s[np.ix_(cols, cols)], s[cols, own[0]])
             return d.n * math.log(max(rest, 1e-300) / s[own[0], own[0]]) + self.penalty * math.log(d.n) * len(cols)
         if d.kind(y) == "censored":
-            m, (t, e) = d.local, own
-            gain = cox(m[:, t], m[:, e], m[:, cols]).loglik - cox(m[:, t], m[:, e], m[:, []]).loglik
-            return -2 * gain + self.penalty * math.log(m[:, e].sum()) * len(cols)
+            m, (t, e, s) = d.local, d.survival(y)
+            gain = cox(t, e, m[:, cols], strata=s).loglik - cox(t, e, m[:, []], strata=s).loglik
+            return -2 * gain + self.penalty * math.log(e.sum()) * len(cols)
         fits = logistic_batch(d, [(c, cols) for c in own] + [(c, []) for c in own])
         if None in fits:
             return math.inf
