@@ -186,3 +186,31 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, most: int = 100, str
     if not np.isfinite(se).all():
         raise ValueError("no finite fit")
     return Fit(b / sd, se / sd, np.array([normal_two_sided(v) for v in b / se]), loglik=ll)
+
+
+def harmonic(n: np.ndarray) -> np.ndarray:
+    """1 + 1/2 + ... + 1/n, exact sums up to 64 and Euler's expansion beyond."""
+    n = np.asarray(n, float)
+    table = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, 65))))
+    x = np.maximum(n, 64)
+    return np.where(n <= 64, table[np.minimum(n, 64).astype(int)], np.log(x) + np.euler_gamma + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4))
+
+
+def null_residuals(time: np.ndarray, event: np.ndarray, strata: np.ndarray) -> np.ndarray:
+    """Working residuals of the Cox model without regressors: events less Efron's cumulative hazards.
+
+    Of m events at a time with r rows at risk the l-th adds 1 / (r - l) to the hazard, and a row with
+    an event bears 1 - l / m of that.
+    """
+    order = np.lexsort((time, strata))
+    t, e, s = time[order], event[order], strata[order]
+    firsts = np.append(0, np.flatnonzero((np.diff(t) != 0) | (np.diff(s) != 0)) + 1)
+    m = np.add.reduceat(e, firsts)
+    at_risk = np.searchsorted(s, s[firsts], "right") - firsts
+    jump = harmonic(at_risk) - harmonic(at_risk - m)
+    hazard = running(jump, strata_cuts(s[firsts]))
+    spared = np.where(m > 0, at_risk * jump / np.maximum(m, 1) - 1, 0)
+    which = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(t))))
+    out = np.empty(len(t))
+    out[order] = e - hazard[which] + e * spared[which]
+    return out

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dagwright.functions.distributions import normal_quantile
+from dagwright.functions.regression import harmonic, null_residuals
 
 #: Cells (rows x columns) up to which a data set is held as one local matrix; beyond, every pass is a Spark job.
 LOCAL_CELLS = 20_000_000
@@ -109,6 +110,41 @@ def check_strata(df: DataFrame, columns: list[str]) -> None:
             raise ValueError(f"two strata of {c} have one hash")
 
 
+def with_null_residuals(df: DataFrame, c: str, to: str, stratified: bool, parts: int = 64) -> DataFrame:
+    """df with `null_residuals` of a censored column, without a task for all rows.
+
+    Rows of a time are counted first; times are dealt into ranges, which add up through their totals.
+    """
+
+    @F.pandas_udf(T.DoubleType())  # not of the module: Data is sent by value, with what it refers to
+    def hazard_jump(at_risk: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(harmonic(at_risk) - harmonic(at_risk - m))
+
+    col = F.col(f"`{c}`")
+    df = df.withColumn("_t", col["time"].cast("double")).withColumn("_s", stratum_code(col) if stratified else F.lit(0.0))
+    bounds = sorted(set(df.approxQuantile("_t", [i / parts for i in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_t"))) if bounds else F.lit(0)
+    times = df.groupBy("_s", "_t").agg(F.count(F.lit(1)).alias("_n"), F.sum(col["event"].cast("double")).alias("_m")).withColumn("_part", part)
+
+    def summed(t: DataFrame, x: str, to: str, backward: bool) -> DataFrame:
+        """Sums of x over the times of a stratum up to each one, or from it on."""
+        def along(w, k):
+            return w.orderBy(F.desc(k) if backward else F.asc(k))
+
+        totals = t.groupBy("_s", "_part").agg(F.sum(x).alias("_sum"))
+        others = F.sum("_sum").over(along(Window.partitionBy("_s"), "_part").rowsBetween(Window.unboundedPreceding, -1))
+        totals = totals.select("_s", "_part", F.coalesce(others, F.lit(0)).alias("_others"))
+        own = F.sum(x).over(along(Window.partitionBy("_s", "_part"), "_t").rowsBetween(Window.unboundedPreceding, 0))
+        return t.withColumn("_own", own).join(totals, ["_s", "_part"]).withColumn(to, F.col("_own") + F.col("_others")).drop("_own", "_others")
+
+    times = summed(times, "_n", "_r", True).withColumn("_jump", hazard_jump(F.col("_r").cast("double"), F.col("_m")))
+    times = summed(times, "_jump", "_h", False)
+    spared = F.when(F.col("_m") > 0, F.col("_r") * F.col("_jump") / F.col("_m") - 1).otherwise(0.0)
+    times = times.select("_s", "_t", "_h", spared.alias("_spared"))
+    event = col["event"].cast("double")
+    return df.join(times, ["_s", "_t"]).withColumn(to, event - F.col("_h") + event * F.col("_spared")).drop("_s", "_t", "_h", "_spared")
+
+
 class Data:
     """A data set of p variables, in dummy-expanded design columns."""
 
@@ -149,12 +185,24 @@ class Data:
             self.columns[v.name] = list(range(len(exprs), len(exprs) + len(own)))
             exprs += [e for e, _ in own]
             self.labels += [x for _, x in own]
-        self.width = len(exprs)
-        self.design = df.select(F.array(*exprs).alias("x")) if exprs else None
+        #: Design columns that stand for a variable where it is a regressor: its own, or a censored one's working residual.
+        self.regressors = dict(self.columns)
+        censored = [c for c in names if kinds[c] == "censored"]
+        for i, c in enumerate(censored):
+            self.regressors[c] = [len(exprs) + i]
+            self.labels.append(f"{c}.residual")
+        self.width = len(exprs) + len(censored)
         self.local = None
         if self.n * max(1, self.width) <= local_cells and exprs:
-            cells = self.design.toArrow()["x"]
-            self.local = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in cells.chunks)]).reshape(-1, self.width)
+            cells = df.select(F.array(*exprs).alias("x")).toArrow()["x"]
+            self.local = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in cells.chunks)]).reshape(-1, len(exprs))
+            self.local = np.column_stack([self.local, *(null_residuals(*self.survival(c)) for c in censored)]) if self.n else np.zeros((0, self.width))
+            self.design = None
+        else:
+            for i, c in enumerate(censored):
+                df = with_null_residuals(df, c, f"_residual{i}", c in strata)
+                exprs.append(F.col(f"_residual{i}"))
+            self.design = df.select(F.array(*exprs).alias("x")) if exprs else None
         self._gram = None
         if check:
             self.check()

@@ -2,7 +2,7 @@
 
 Linear tests come from one matrix of moments, whatever their number. Discrete pairs take batches of
 logistic fits, one pass over the rows for each Newton step of a whole batch. Censored variables take
-Cox fits on the local matrix. A test whose fits fail both ways counts as dependent, with p = 0.
+Cox fits on the local matrix; given ones stand for themselves by their working residuals. A test whose fits fail both ways counts as dependent, with p = 0.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class DataTest:
         for k in new:
             x, y, z = k
             kinds = {self.data.kind(x), self.data.kind(y)}
-            if "censored" in kinds or any(self.data.kind(v) == "censored" for v in z):
+            if "censored" in kinds:
                 self.known[k] = self.survival(x, y, z)
             elif "continuous" in kinds:
                 self.known[k] = self.linear(x, y, z)
@@ -50,7 +50,7 @@ class DataTest:
         return [self.known[k] for k in keys]
 
     def columns(self, names) -> list[int]:
-        return [c for v in names for c in self.data.columns[v]]
+        return [c for v in names for c in self.data.regressors[v]]
 
     def linear(self, x: str, y: str, z: tuple[str, ...]) -> float:
         """t test of one column, or F test of several, in a least-squares fit of the continuous variable."""
@@ -111,13 +111,16 @@ class DataTest:
             left = again
 
     def survival(self, x: str, y: str, z: tuple[str, ...]) -> float:
-        """Cox: Wald test of one column, likelihood ratio of several; two censored variables are independent (p = 1)."""
+        """Cox: Wald test of one column, likelihood ratio of several.
+
+        Two censored variables are independent (p = 1); given a third one, a censored variable is dependent (p = 0).
+        """
         kind = self.data.kind
         if kind(x) == "censored" == kind(y):
             return 1.0
         if kind(x) != "censored":
             x, y = y, x
-        if kind(x) != "censored" or any(kind(v) == "censored" for v in z):
+        if any(kind(v) == "censored" for v in z):
             return 0.0
         t, e, s = self.data.survival(x)
         m, b, c = self.data.local, self.data.columns[y], self.columns(z)

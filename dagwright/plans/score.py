@@ -40,7 +40,10 @@ class DegenerateGaussian:
 
 
 class RegressionBic:
-    """-2 (log-likelihood - that without parents) + penalty log(n) k, by the kind of the variable; a failed fit scores +inf."""
+    """-2 (log-likelihood - that without parents) + penalty log(n) k, by the kind of the variable; a failed fit scores +inf.
+
+    A censored parent is its working residual.
+    """
 
     def __init__(self, data: Data, penalty: float = 1.0):
         self.data, self.penalty, self.known = data, penalty, {}
@@ -54,7 +57,7 @@ class RegressionBic:
             if parents and self.data.kind(y) == "censored":
                 self.data.survival(y)  # without a local matrix an error, no failed fit
             try:
-                self.known[key] = self.fitted(y, [c for v in sorted(parents) for c in self.data.columns[v]])
+                self.known[key] = self.fitted(y, [c for v in sorted(parents) for c in self.data.regressors[v]])
             except (ValueError, np.linalg.LinAlgError):
                 self.known[key] = math.inf
         return self.known[key]
