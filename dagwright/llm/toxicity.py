@@ -32,8 +32,8 @@ LEXICON = {
 PATTERNS = {"insulting you": r"(?i)\byou(?:'re| are) (?:such )?an? \w+", "get lost": r"(?i)\b(?:shut up|get lost|go to hell)\b"}
 STRIPPED = ".,;:!?\"'()[]{}<>|*#$%&+=/\\-_~`^@0123456789…“”„«»¡¿"
 PREFIXES = (4, 5, 6)
-#: Labelled rows that voters and the classifier are fitted on at most, and voters and features of the classifier at most.
-MOST_ROWS, MOST_VOTERS, MOST_FEATURES = 4000, 96, 256
+#: Labelled rows that voters and the classifier are fitted on at most; they bound the voters and features.
+MOST_ROWS = 4000
 
 
 def words(text: str) -> set[str]:
@@ -125,17 +125,15 @@ def find_voters(texts: list[str], labels: np.ndarray) -> tuple[list[str], list[s
         if all(len(own & x) < 0.9 * len(own | x) for x in taken):
             out.append(f)
             taken.append(own)
-            if len(out) == MOST_VOTERS:
-                break
     return out, [f for _, _, f in sorted(scored)]
 
 
 def moments(docs: DataFrame, text: str, voters: Voters) -> tuple[int, np.ndarray]:
     """Documents, and how many each pair of voters votes on, over all documents."""
-    k = len(voters.names())
+    k, key = len(voters.names()), f"voters{hash(tuple(voters.found))}"
 
     def counted(batches):
-        vote = voters.bind()
+        vote = kept_by_worker(key, "vote", voters.bind)
         n, total = 0, np.zeros((k, k), np.int64)
         for b in batches:
             n += b.num_rows
@@ -213,7 +211,7 @@ class Model:
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            finder = kept_by_worker("toxicity", key, lambda: Finder(names))
+            finder = kept_by_worker(key, "finder", lambda: Finder(names))  # the words of one model at a time
             z = np.array([intercept + sum(weights[i] for i in sorted(finder(t or ""))) for t in texts], float)
             return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -273,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n, pairs = moments(docs, text, voters)
     model = fit_label_model(n, pairs, toxic, clean, rate)
     target = np.array([model.posterior(v, int(c)) for v, c in zip(votes, y, strict=True)])
-    names = list(dict.fromkeys([*found, *sorted({w for x in LEXICON.values() for w in x.split()}), *passed]))[:MOST_FEATURES]
+    names = list(dict.fromkeys([*found, *sorted({w for x in LEXICON.values() for w in x.split()}), *passed]))
     finder = Finder(names)
     w, b = logistic([finder(t) for t in texts], target, len(names))
     return Model(names, w, b)
