@@ -16,9 +16,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each class of near copies; documents without an id stay."""
-    gone = near_dedup.near_dedup(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row, of the least doc_id if there is one, of each class of near copies."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = near_dedup.near_dedup(keyed, doc_id="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    classes = written(classes.join(keyed.select("_row", "doc_id"), "_row"), "classes")
+    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    gone = classes.join(kept, "_row", "left_anti").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
