@@ -23,6 +23,8 @@ from dagwright.llm.common import kept_by_worker
 
 #: Text that makes one batch of words, and bits of the pair table.
 BATCH_CHARS, TABLE_BITS, SEED = 24 << 20, 18, 7
+#: Bits of a position in a word; an array's positions have 31, a rank has 16.
+PLACE = 32
 #: Where a text cannot be parted at every single space, because white space runs on.
 RUNS = re.compile(r"\s (?=\s|\Z)")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -77,6 +79,16 @@ def literal(x: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(" ".join(map(str, x.tolist()))), " ").cast(f"array<{kind}>")
 
 
+def candidate(rank: Column, at: Column) -> Column:
+    """A merge as one long, that of the least rank and then position being the least."""
+    return F.shiftleft(rank.cast("bigint"), PLACE) + at
+
+
+def taken(best: Column) -> tuple[Column, Column]:
+    """Rank and position of a candidate."""
+    return F.shiftright(best, PLACE).cast("int"), best.bitwiseAND(F.lit((1 << PLACE) - 1).cast("bigint")).cast("int")
+
+
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     """array<array<smallint>> of bytes to array<array<int>> of ids."""
     if len(ranks) > 1 << 16:
@@ -95,16 +107,16 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
             ids = acc["ids"]
 
             def ranked(a: Column, i: Column) -> Column:
-                """rank << 20 | position if ids[i] and ids[i + 1] merge, else null."""
+                """rank << 32 | position if ids[i] and ids[i + 1] merge, else null."""
                 b = F.get(ids, i + 1)
                 held = lambda v: F.shiftright(v, 17) == F.shiftleft(a.cast("bigint"), 16) + b
-                found = lambda v: F.shiftleft(v.bitwiseAND(one(0xFFFF)), 20) + i
+                found = lambda v: candidate(v.bitwiseAND(one(0xFFFF)), i)
                 later = F.transform(F.array(F.get(slots, F.get(second_a, a).bitwiseXOR(F.get(second_b, b)))), lambda v: F.when(held(v), found(v)))
                 return F.get(F.transform(F.array(F.get(slots, F.get(first_a, a).bitwiseXOR(F.get(first_b, b)))), lambda v: F.when(held(v), found(v)).when(v.bitwiseAND(one(1 << 16)) != 0, F.get(later, F.lit(0)))), F.lit(0))
 
             def merged(best: Column) -> Column:
-                at = best.bitwiseAND(one(0xFFFFF)).cast("int")
-                ids_ = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 20).cast("int")), F.slice(ids, at + 3, F.size(ids)))
+                rank, at = taken(best)
+                ids_ = F.concat(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids)))
                 return F.when(best.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(ids_.alias("ids"), F.lit(False).alias("done")))
 
             return F.when(acc["done"], acc).otherwise(F.get(F.transform(F.array(F.array_min(F.transform(ids, ranked))), merged), F.lit(0)))
