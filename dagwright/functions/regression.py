@@ -56,48 +56,67 @@ def logistic_batch(data, tasks: list[tuple[int, list[int]]], most: int = 100) ->
     g, n = data.gram(), data.n
     mean = g[0, 1:] / n
     sd = np.sqrt(np.maximum(np.diag(g)[1:] / n - mean**2, 1e-300))
-    betas = [np.zeros(len(x) + 1) for _, x in tasks]
-    for b, (y, _) in zip(betas, tasks, strict=True):
-        m = min(max(mean[y], 1e-6), 1 - 1e-6)
-        b[0] = math.log(m / (1 - m))
     out: list = [None] * len(tasks)
-    active, before = list(range(len(tasks))), {}
+    groups: dict[int, list[int]] = {}
+    for i, (_, cols) in enumerate(tasks):
+        groups.setdefault(len(cols), []).append(i)
+    ys = {k: np.array([tasks[i][0] for i in own]) for k, own in groups.items()}
+    xs = {k: np.array([tasks[i][1] for i in own], int).reshape(len(own), k) for k, own in groups.items()}
+    betas, before = {}, {}
+    for k, own in groups.items():
+        rate = np.clip(mean[ys[k]], 1e-6, 1 - 1e-6)
+        betas[k] = np.zeros((len(own), k + 1))
+        betas[k][:, 0] = np.log(rate / (1 - rate))
+        before[k] = np.full(len(own), np.nan)
+    active = {k: np.arange(len(own)) for k, own in groups.items()}
     for _ in range(most):
+        active = {k: a for k, a in active.items() if len(a)}
         if not active:
             break
-        sizes = [1 + len(betas[i]) + len(betas[i]) ** 2 for i in active]
-        now = [(tasks[i], betas[i]) for i in active]
+        now = [(k, ys[k][a], xs[k][a], betas[k][a]) for k, a in active.items()]
 
         def passed(x, now=now):
-            parts = []
-            for (y, cols), b in now:
-                z = np.hstack([np.ones((len(x), 1)), (x[:, cols] - mean[cols]) / sd[cols]])
-                eta = np.clip(z @ b, -30, 30)
-                p = 1 / (1 + np.exp(-eta))
-                parts += [[float((x[:, y] * eta - np.logaddexp(0, eta)).sum())], z.T @ (x[:, y] - p), ((z.T * (p * (1 - p))) @ z).ravel()]
-            return np.concatenate(parts)
-
-        got, at, still = data.sum_rows(passed, sum(sizes)), 0, []
-        for i, size in zip(active, sizes, strict=True):
-            own, at, k = got[at : at + size], at + size, len(betas[i])
-            ll, grad, hess = own[0], own[1 : 1 + k], own[1 + k :].reshape(k, k)
-            try:
-                cov = np.linalg.inv(hess + 1e-12 * np.eye(k))
-            except np.linalg.LinAlgError:
-                continue
-            if i in before and abs(ll - before[i]) <= 1e-7:
+            return np.concatenate([newton_sums(x, y, cols, b, mean, sd).sum(axis=0).ravel() for _, y, cols, b in now])
+
+        got, at = data.sum_rows(passed, sum(len(a) * (1 + (k + 1) + (k + 1) ** 2) for k, a in active.items())), 0
+        for k, a in list(active.items()):
+            w = 1 + (k + 1) + (k + 1) ** 2
+            own, at = got[at : at + len(a) * w].reshape(len(a), w), at + len(a) * w
+            ll, grad, hess = own[:, 0], own[:, 1 : k + 2], own[:, k + 2 :].reshape(-1, k + 1, k + 1)
+            fine = np.isfinite(own).all(axis=1)
+            hess = np.where(fine[:, None, None], hess, np.eye(k + 1)) + 1e-12 * np.eye(k + 1)
+            fine &= np.linalg.cond(hess) < 1e15
+            cov = np.linalg.inv(np.where(fine[:, None, None], hess, np.eye(k + 1)))
+            done = fine & (np.abs(ll - before[k][a]) <= 1e-7)
+            for j in np.flatnonzero(done):
+                i, b = groups[k][a[j]], betas[k][a[j]]
                 scale = np.concatenate(([1.0], 1 / sd[tasks[i][1]]))
                 back = np.diag(scale)
                 back[0, 1:] = -mean[tasks[i][1]] * scale[1:]
-                if np.isfinite(betas[i]).all() and np.abs(betas[i]).max() < 1e3:
-                    out[i] = back @ betas[i], back @ cov @ back.T
-                continue
-            before[i] = ll
-            step = cov @ grad
-            betas[i] = betas[i] + step * min(1.0, 10 / max(float(np.abs(step).max()), 1e-12))
-            if np.isfinite(betas[i]).all():
-                still.append(i)
-        active = still
+                if np.isfinite(b).all() and np.abs(b).max() < 1e3:
+                    out[i] = back @ b, back @ cov[j] @ back.T
+            before[k][a] = ll
+            step = np.einsum("tij,tj->ti", cov, np.where(fine[:, None], grad, 0))
+            betas[k][a] += step * np.minimum(1.0, 10 / np.maximum(np.abs(step).max(axis=1), 1e-12))[:, None]
+            active[k] = a[fine & ~done & np.isfinite(betas[k][a]).all(axis=1)]
+    return out
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, cols: np.ndarray, b: np.ndarray, mean: np.ndarray, sd: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """[block, task, 1 + k + k * k]: log-likelihood, gradient and information of logits with as many columns each, block by block of rows."""
+    t, k = cols.shape
+    rows = max(1, cells // max(1, t * (k + 1)))
+    out = np.zeros((-(-len(x) // rows), t, 1 + (k + 1) + (k + 1) ** 2))
+    for i in range(len(out)):
+        part = x[i * rows : (i + 1) * rows]
+        z = np.ones((t, len(part), k + 1))
+        if k:
+            z[:, :, 1:] = ((part[:, cols] - mean[cols]) / sd[cols]).transpose(1, 0, 2)
+        eta = np.clip(np.einsum("tnk,tk->tn", z, b), -30, 30)
+        p, target = 1 / (1 + np.exp(-eta)), part[:, y].T
+        out[i, :, 0] = (target * eta - np.logaddexp(0, eta)).sum(axis=1)
+        out[i, :, 1 : k + 2] = np.einsum("tnk,tn->tk", z, target - p)
+        out[i, :, k + 2 :] = (z.transpose(0, 2, 1) @ (z * (p * (1 - p))[:, :, None])).reshape(t, -1)
     return out
 
 
@@ -188,6 +207,20 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, most: int = 100, str
     return Fit(b / sd, se / sd, np.array([normal_two_sided(v) for v in b / se]), loglik=ll)
 
 
+def cox_loglik(time: np.ndarray, event: np.ndarray, eta: np.ndarray, strata: np.ndarray) -> float:
+    """The partial log-likelihood, with Efron's correction of ties, of given log hazards."""
+    order = np.lexsort((-event, -time, strata))
+    time, event, eta, strata = time[order], event[order], eta[order], strata[order]
+    cuts, w = strata_cuts(strata), np.exp(np.clip(eta - eta.max(initial=0.0), -500, 500))
+    ends = np.append(np.flatnonzero((np.diff(time) != 0) | (np.diff(strata) != 0)), len(time) - 1)
+    firsts = np.append(0, ends[:-1] + 1)
+    ties = np.add.reduceat(event, firsts).astype(int)
+    which = np.repeat(np.arange(len(ends)), ties)
+    share = (np.arange(len(which)) - np.repeat(np.cumsum(ties) - ties, ties)) / np.maximum(ties[which], 1)
+    risk = running(w, cuts)[ends[which]] - share * np.add.reduceat(w * event, firsts)[which]
+    return float((event * eta).sum() - (np.log(risk) + eta.max(initial=0.0)).sum())
+
+
 def harmonic(n: np.ndarray) -> np.ndarray:
     """1 + 1/2 + ... + 1/n, exact sums up to 64 and Euler's expansion beyond."""
     n = np.asarray(n, float)

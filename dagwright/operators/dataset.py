@@ -8,6 +8,7 @@ blocks of rows yield; its result is as large as a function of the columns, never
 from __future__ import annotations
 
 import dataclasses
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -102,6 +103,19 @@ def stratum_code(c: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c["strata"].cast("string")), 12).cast("double")
 
 
+def warn_of_levels(df: DataFrame, kinds: dict[str, str], levels: dict[str, tuple[str, ...]]) -> None:
+    """Warns of categories with ten levels or more, and of numbers that have fewer than ten values."""
+    for c, x in levels.items():
+        if len(x) >= 10:
+            warnings.warn(f"{c} has {len(x)} levels; is it a category?", stacklevel=3)
+    numbers = [c for c, k in kinds.items() if k == "continuous"]
+    if numbers:
+        found = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(numbers)]).first()
+        for i, c in enumerate(numbers):
+            if found[f"_{i}"] < 10:
+                warnings.warn(f"{c} has fewer than ten values; is it a number?", stacklevel=3)
+
+
 def check_strata(df: DataFrame, columns: list[str]) -> None:
     for c in columns:
         col = F.col(f"`{c}`")
@@ -145,10 +159,49 @@ def with_null_residuals(df: DataFrame, c: str, to: str, stratified: bool, parts:
     return df.join(times, ["_s", "_t"]).withColumn(to, event - F.col("_h") + event * F.col("_spared")).drop("_s", "_t", "_h", "_spared")
 
 
+#: Multipliers of the published 64-bit hash behind Spark's xxhash64 (fixed values).
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+def mixed(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of one long, with a seed, over arrays."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in PRIMES)
+    turned = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = np.asarray(seed, np.uint64) + p5 + np.uint64(8)
+        h = turned(h ^ (turned(np.asarray(x, np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def draw_keys(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """The longs that xxhash64(key, *salt) gives in Spark."""
+    h = mixed(keys.view(np.uint64), np.uint64(42))
+    for s in salt:
+        h = mixed(np.uint64(s % (1 << 64)), h)
+    return h.view(np.int64)
+
+
+def ranked_rows(df: DataFrame, key: Column, n: int, *salt: int, parts: int = 64) -> DataFrame:
+    """df with `_rank`, from 0, of each row by the hash of its key and salt.
+
+    Ranges of the hash are ranked on their own and add up through their totals, a row each. Rows that are
+    alike share a hash and so neighbouring ranks, and it does not matter which has which.
+    """
+    parts = max(parts, n >> 20)
+    df = df.withColumn("_h", F.xxhash64(key, *[F.lit(s).cast("long") for s in salt]))
+    df = df.withColumn("_part", F.floor((F.col("_h").cast("double") / float(1 << 64) + 0.5) * parts))
+    totals = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_h"))
+    return df.withColumn("_own", own).join(F.broadcast(totals.select("_part", before.alias("_before"))), "_part").withColumn("_rank", F.col("_own") + F.col("_before") - 1).drop("_h", "_part", "_own", "_before")
+
+
 class Data:
     """A data set of p variables, in dummy-expanded design columns."""
 
-    def __init__(self, df: DataFrame, rank: bool = False, check: bool = True, local_cells: int = LOCAL_CELLS):
+    def __init__(self, df: DataFrame, rank: bool = False, check: bool = True, local_cells: int = LOCAL_CELLS, like: Data | None = None):
         names = [c.replace(" ", ".") for c in df.columns]
         if len(set(names)) < len(names):
             raise ValueError(f"column names are not unique: {sorted(names)}")
@@ -156,7 +209,7 @@ class Data:
         kinds = {f.name: kind_of(f) for f in df.schema.fields}
         if rank:
             df = npn(df, [c for c, k in kinds.items() if k == "continuous"])
-        discrete = [c for c, k in kinds.items() if k == "discrete"]
+        discrete = [c for c, k in kinds.items() if k == "discrete" and like is None]
         found = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(discrete)]).first()
         for i, c in enumerate(discrete):
             if found[f"_{i}"] > MOST_LEVELS:
@@ -165,9 +218,13 @@ class Data:
         if discrete:
             sets = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"_{i}") for i, c in enumerate(discrete)]).first()
             levels = {c: tuple(sets[i]) for i, c in enumerate(discrete)}
+        if like is not None:  # a part has the levels of the whole
+            levels = {v.name: v.levels for v in like.variables}
+        else:
+            warn_of_levels(df, kinds, levels)
         strata = [c for c, k in kinds.items() if k == "censored" and "strata" in df.schema[c].dataType.names]
         check_strata(df, strata)
-        self.df, self.n = df, int(found["n"])
+        self.df, self.n, self.spark, self.local_cells, self.strata = df, int(found["n"]), df.sparkSession, local_cells, strata
         self.variables = [Variable(c, kinds[c], levels.get(c, ())) for c in names]
         self.index = {v.name: i for i, v in enumerate(self.variables)}
         #: Design columns of each variable: itself, or a column for each level but the first.
@@ -192,11 +249,12 @@ class Data:
             self.regressors[c] = [len(exprs) + i]
             self.labels.append(f"{c}.residual")
         self.width = len(exprs) + len(censored)
-        self.local = None
+        self.local, self.keys = None, None
         if self.n * max(1, self.width) <= local_cells and exprs:
-            cells = df.select(F.array(*exprs).alias("x")).toArrow()["x"]
-            self.local = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in cells.chunks)]).reshape(-1, len(exprs))
-            self.local = np.column_stack([self.local, *(null_residuals(*self.survival(c)) for c in censored)]) if self.n else np.zeros((0, self.width))
+            read = df.select(F.array(*exprs).alias("x"), self.row_key().alias("key")).toArrow()
+            self.local = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in read["x"].chunks)]).reshape(-1, len(exprs))
+            self.keys = read["key"].to_numpy()
+            self.add_residuals()
             self.design = None
         else:
             for i, c in enumerate(censored):
@@ -209,7 +267,55 @@ class Data:
 
     def __getstate__(self) -> dict:
         """What tasks need of it: names and columns, no rows."""
-        return self.__dict__ | {"df": None, "design": None, "local": None}
+        return self.__dict__ | {"df": None, "design": None, "local": None, "keys": None, "spark": None}
+
+    def row_key(self) -> Column:
+        return F.xxhash64(*[F.col(f"`{v.name}`") for v in self.variables])
+
+    def add_residuals(self) -> None:
+        """Appends the working residuals of censored variables to the local matrix."""
+        censored = [v.name for v in self.variables if v.kind == "censored"]
+        self.local = np.column_stack([self.local, *(null_residuals(*self.survival(c)) for c in censored)]) if self.n else np.zeros((0, self.width))
+
+    def part(self, low: int, high: int, *salt: int, inside: bool = True, least: tuple[float, int, int] | None = None) -> Data:
+        """The rows whose rank by the hash of row and salt lies in [low, high), or all others; levels are those of the whole.
+
+        Which rows these are does not depend on partitions, or on whether the rows are held here. With `least`
+        a part without enough variation is an error.
+        """
+        if self.local is not None:
+            order = np.argsort(draw_keys(self.keys, *salt), kind="stable")
+            rows = np.sort(order[low:high] if inside else np.concatenate([order[:low], order[high:]]))
+            return self.of_rows(rows, least)
+        rank = F.col("_rank")
+        chosen = (rank >= low) & (rank < high)
+        df = ranked_rows(self.df, self.row_key(), self.n, *salt).where(chosen if inside else ~chosen).drop("_rank")
+        return Data(df, check=False, local_cells=self.local_cells, like=self).checked(least)
+
+    def of_rows(self, rows: np.ndarray, least: tuple[float, int, int] | None = None) -> Data:
+        """Some of the local rows, as often as they are named."""
+        out = object.__new__(Data)
+        out.__dict__ = self.__dict__ | {"df": None, "n": len(rows), "keys": self.keys[rows], "_gram": None}
+        out.local = self.local[rows][:, : self.width - sum(v.kind == "censored" for v in self.variables)]
+        out.add_residuals()
+        return out.checked(least)
+
+    def checked(self, least: tuple[float, int, int] | None) -> Data:
+        if least is not None:
+            self.check(*least)
+        return self
+
+    def without(self, names: list[str]) -> Data:
+        """The data without some variables."""
+        if self.local is None:
+            return Data(self.df.drop(*names), check=False, local_cells=self.local_cells)
+        out = object.__new__(Data)
+        kept = [v for v in self.variables if v.name not in names]
+        old = [c for v in kept for c in self.columns[v.name]]
+        residuals = [self.regressors[v.name][0] for v in kept if v.kind == "censored"]
+        new = {c: i for i, c in enumerate(old + residuals)}
+        out.__dict__ = self.__dict__ | {"df": self.df and self.df.drop(*names), "variables": kept, "index": {v.name: i for i, v in enumerate(kept)}, "columns": {v.name: [new[c] for c in self.columns[v.name]] for v in kept}, "regressors": {v.name: [new[c] for c in self.regressors[v.name]] for v in kept}, "labels": [self.labels[c] for c in old + residuals], "width": len(new), "local": self.local[:, old + residuals], "_gram": None}
+        return out
 
     def survival(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Times, events and strata (all 0 if there are none) of a censored variable, from the local matrix."""
@@ -264,7 +370,7 @@ class Data:
         mean = g[0, 1:] / self.n
         return (g[1:, 1:] - self.n * np.outer(mean, mean)) / max(1, self.n - 1)
 
-    def check(self) -> None:
+    def check(self, least_var: float = 1e-10, least_rows: int = 5, least_events: int = 10) -> None:
         """Names the first variable without enough variation to be modelled."""
         g = self.gram()
         for v in self.variables:
@@ -272,12 +378,12 @@ class Data:
             if v.kind == "continuous":
                 mean = g[0, cols[0] + 1] / max(1, self.n)
                 var = g[cols[0] + 1, cols[0] + 1] / max(1, self.n) - mean * mean
-                if self.n < 2 or var <= 1e-10 * max(1.0, mean * mean):
+                if self.n < 2 or var <= least_var * max(1.0, mean * mean):
                     raise ValueError(f"{v.name} has no variance")
             elif v.kind == "discrete":
                 counts = [g[0, c + 1] for c in cols]
                 counts.insert(0, self.n - sum(counts))
-                if len(v.levels) < 2 or min(counts) < 5:
-                    raise ValueError(f"{v.name} has fewer than two levels, or one with fewer than 5 rows")
-            elif g[0, cols[1] + 1] < 10:
-                raise ValueError(f"{v.name} has fewer than 10 events")
+                if len(v.levels) < 2 or min(counts) < least_rows:
+                    raise ValueError(f"{v.name} has fewer than two levels, or one with fewer than {least_rows} rows")
+            elif g[0, cols[1] + 1] < least_events:
+                raise ValueError(f"{v.name} has fewer than {least_events} events")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dagwright.plans.graph import CPDAG, PAG, UNDIRECTED, Graph
+
 EDGE = ["node1", "ep1", "ep2", "node2"]
 
 
@@ -94,7 +96,7 @@ def shd(est: DataFrame, truth: DataFrame, type: str) -> DataFrame:
     In a CPDAG an unmatched directed edge, and differing marks that are both directed, count 1 more; a
     PAG the same with o-o in the place of undirected edges.
     """
-    plain = {"completed partially directed acyclic graph": "-", "partial ancestral graph": "o"}.get(type)
+    plain = {CPDAG: "-", PAG: "o"}.get(type)
     e, t = F.col("ea").isNotNull(), F.col("ta").isNotNull()
     cost = F.when(e & t, F.when((F.col("ea") == F.col("ta")) & (F.col("eb") == F.col("tb")), 0).otherwise(1)).otherwise(1)
     if plain:
@@ -118,13 +120,28 @@ def adjacency_metrics(est: DataFrame, truth: DataFrame, nodes: int) -> DataFrame
     return rates(got.withColumn("tn", F.lit(nodes * (nodes - 1) // 2) - F.col("tp") - F.col("fp") - F.col("fn")), "adj")
 
 
-def orientation_metrics(est: DataFrame, truth: DataFrame) -> DataFrame:
-    """Over both ends of shared adjacencies, an arrow being positive; a circle counts half for either."""
-    ends = compared(est, truth).where("ea is not null and ta is not null").select(F.explode(F.array(F.struct(F.col("ea").alias("e"), F.col("ta").alias("t")), F.struct(F.col("eb").alias("e"), F.col("tb").alias("t")))).alias("x"))
-    positive = F.when(F.col("x.e") == ">", 1.0).when(F.col("x.e") == "o", 0.5).otherwise(0.0)
-    arrow = F.when(F.col("x.t") == ">", 1.0).when(F.col("x.t") == "o", 0.5).otherwise(0.0)
-    s = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
-    return rates(ends.agg(s(positive * arrow, "tp"), s(positive * (1 - arrow), "fp"), s((1 - positive) * arrow, "fn"), s((1 - positive) * (1 - arrow), "tn")), "orient")
+def orientation_metrics(est: DataFrame, truth: DataFrame, type: str = CPDAG, dag: DataFrame | None = None) -> DataFrame:
+    """Over both ends of shared adjacencies, an arrow being positive.
+
+    In PAGs a circle that agrees counts half for either side; where the true mark is a circle, a tail or an
+    arrow is judged by whether the node is an ancestor of the other one in the true directed graph, which
+    is needed then; an estimated circle at a true tail or arrow is half an error. Undirected graphs have NaN.
+    """
+    if type == UNDIRECTED:
+        return est.sparkSession.createDataFrame([(float("nan"),) * 4], ", ".join(f"orient{m} double" for m in ("Precision", "Recall", "F1", "MCC")))
+    if type == PAG and dag is None:
+        raise ValueError("the true directed graph is needed for partial ancestral graphs")
+    end = lambda at, other, m: F.struct(F.col(at).alias("at"), F.col(other).alias("other"), F.col(f"e{m}").alias("e"), F.col(f"t{m}").alias("t"))
+    ends = compared(est, truth).where("ea is not null and ta is not null").select(F.explode(F.array(end("a", "b", "a"), end("b", "a", "b"))).alias("x")).select("x.*")
+    ends = ends.withColumn("up", F.lit(False)) if type != PAG else ends.join(ancestors(dag).select(F.col("ancestor").alias("at"), F.col("node").alias("other"), F.lit(True).alias("up")), ["at", "other"], "left").withColumn("up", F.coalesce("up", F.lit(False)))
+    e, t, up = F.col("e"), F.col("t"), F.col("up")
+    cells = {
+        "tp": F.when((e == ">") & ((t == ">") | (t == "o") & ~up), 1.0).when((e == "o") & (t == "o"), 0.5),
+        "tn": F.when((e == "-") & ((t == "-") | (t == "o") & up), 1.0).when((e == "o") & (t == "o"), 0.5),
+        "fp": F.when((e == ">") & ((t == "-") | (t == "o") & up), 1.0).when((e == "o") & (t == "-"), 0.5),
+        "fn": F.when((e == "-") & ((t == ">") | (t == "o") & ~up), 1.0).when((e == "o") & (t == ">"), 0.5),
+    }
+    return rates(ends.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in cells.items()]), "orient")
 
 
 def causal_metrics(est: DataFrame, dag: DataFrame) -> DataFrame:
@@ -136,9 +153,23 @@ def causal_metrics(est: DataFrame, dag: DataFrame) -> DataFrame:
     return rates(got, "causal").drop("causalMCC")
 
 
-def all_metrics(est: DataFrame, truth: DataFrame, nodes: int, type: str) -> DataFrame:
+def pr_metrics(est: DataFrame, truth: DataFrame, nodes: int, type: str, dag: DataFrame | None = None) -> DataFrame:
+    """One row of adjacency and orientation metrics; each side is one row."""
+    return adjacency_metrics(est, truth, nodes).crossJoin(orientation_metrics(est, truth, type, dag))
+
+
+def all_metrics(est: DataFrame, truth: DataFrame, nodes: int, type: str, dag: DataFrame | None = None) -> DataFrame:
     """One row of SHD, adjacency and orientation metrics; each side is one row."""
-    return shd(est, truth, type).crossJoin(adjacency_metrics(est, truth, nodes)).crossJoin(orientation_metrics(est, truth))
+    return shd(est, truth, type).crossJoin(pr_metrics(est, truth, nodes, type, dag))
+
+
+def compare(spark: SparkSession, est: Graph, truth: Graph, dag: Graph | None = None) -> DataFrame:
+    """all_metrics of two graphs of one type over the same nodes; anything else is an error."""
+    if set(est.nodes) != set(truth.nodes):
+        raise ValueError("the graphs have different nodes")
+    if est.type != truth.type or est.type not in (UNDIRECTED, CPDAG, PAG):
+        raise ValueError(f"a {est.type} cannot be compared with a {truth.type}")
+    return all_metrics(est.frame(spark), truth.frame(spark), len(est.nodes), est.type, dag and dag.frame(spark))
 
 
 def ensemble(samples: DataFrame, boots: int) -> DataFrame:

@@ -7,16 +7,16 @@ Cox fits on the local matrix; given ones stand for themselves by their working r
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 
 import numpy as np
 
-from dagwright.functions.distributions import chi2_upper, t_two_sided
-from dagwright.functions.regression import cox, likelihood_ratio, logistic_batch, multinomial_loglik, nested_f
+from dagwright.functions.distributions import chi2_upper, f_upper_all, t_two_sided_all
+from dagwright.functions.regression import cox, likelihood_ratio, logistic_batch, multinomial_loglik
 from dagwright.operators.dataset import Data
 
-#: Logistic fits that share a pass.
-BATCH = 128
+#: Logistic fits that share a pass, and linear tests that are solved at once.
+BATCH, LINEAR = 512, 20_000
 
 Test = tuple[str, str, tuple[str, ...]]
 
@@ -35,16 +35,24 @@ class DataTest:
     def p_values(self, tests: list[Test]) -> list[float]:
         keys = [(min(x, y), max(x, y), tuple(sorted(z))) for x, y, z in tests]
         new = [k for k in dict.fromkeys(keys) if k not in self.known]
-        discrete = []
+        discrete, linear = [], defaultdict(list)
         for k in new:
             x, y, z = k
             kinds = {self.data.kind(x), self.data.kind(y)}
             if "censored" in kinds:
                 self.known[k] = self.survival(x, y, z)
             elif "continuous" in kinds:
-                self.known[k] = self.linear(x, y, z)
+                if self.data.kind(x) != "continuous" or self.data.kind(y) == "continuous" and len(self.data.columns[y]) > 1:
+                    x, y = y, x
+                c = self.columns(z)
+                linear[len(self.data.columns[y]), len(c)].append((k, [self.data.columns[x][0], *self.data.columns[y], *c]))
             else:
                 discrete.append(k)
+        for (tested, given), own in linear.items():
+            for i in range(0, len(own), LINEAR):
+                some = own[i : i + LINEAR]
+                for (k, _), p in zip(some, self.linear(np.array([c for _, c in some]), tested, given), strict=True):
+                    self.known[k] = float(p)
         for i in range(0, len(discrete), BATCH):
             self.logistic(discrete[i : i + BATCH])
         return [self.known[k] for k in keys]
@@ -52,36 +60,37 @@ class DataTest:
     def columns(self, names) -> list[int]:
         return [c for v in names for c in self.data.regressors[v]]
 
-    def linear(self, x: str, y: str, z: tuple[str, ...]) -> float:
-        """t test of one column, or F test of several, in a least-squares fit of the continuous variable."""
-        if self.data.kind(x) != "continuous":
-            x, y = y, x
-        a, b, c = self.data.columns[x][0], self.data.columns[y], self.columns(z)
-        if len(b) == 1:
-            p = self.partial(a, b[0], c)
-            return p if p is not None else 0.0
-        try:
-            return nested_f(self.data.gram(), self.data.n, a, b, c)[1]
-        except (ValueError, np.linalg.LinAlgError):
-            return 0.0
+    def linear(self, cols: np.ndarray, tested: int, given: int) -> np.ndarray:
+        """p values of the F test (of one column: the t test) of `tested` columns in least-squares fits of the first column on them and `given` others.
 
-    def partial(self, a: int, b: int, c: list[int]) -> float | None:
-        s, df = self.cov, self.data.n - 2 - len(c)
+        A test a row of cols, all solved at once from the covariances; one that cannot be solved has p = 0.
+        """
+        df = self.data.n - 1 - tested - given
         if df < 1:
-            return None
-        cols = [a, b, *c]
-        m = s[np.ix_(cols, cols)]
-        d = np.sqrt(np.diag(m))
-        m = m / np.outer(d, d)
-        if c:
-            try:
-                m = m[:2, :2] - m[:2, 2:] @ np.linalg.solve(m[2:, 2:], m[2:, :2])
-            except np.linalg.LinAlgError:
-                return None
-        if min(m[0, 0], m[1, 1]) < 1e-10 or not np.isfinite(m).all():
-            return None
-        r = m[0, 1] / math.sqrt(m[0, 0] * m[1, 1])
-        return t_two_sided(r * math.sqrt(df / max(1 - r * r, 1e-300)), df)
+            return np.zeros(len(cols))
+        m = self.cov[cols[:, :, None], cols[:, None, :]]
+        d = np.sqrt(np.maximum(np.einsum("tii->ti", m), 1e-300))
+        m = m / (d[:, :, None] * d[:, None, :])
+        head = 1 + tested
+        if given:
+            inner = m[:, head:, head:]
+            fine = np.abs(np.linalg.det(inner)) > 1e-12
+            inner = np.where(fine[:, None, None], inner, np.eye(given))
+            m = m[:, :head, :head] - m[:, :head, head:] @ np.linalg.solve(inner, m[:, head:, :head])
+        else:
+            fine = np.ones(len(cols), bool)
+        rest = m[:, 1:, 1:]
+        fine &= (m[:, 0, 0] > 1e-10) & (np.einsum("tii->ti", rest).min(axis=1) > 1e-10) & np.isfinite(m).all(axis=(1, 2))
+        fine &= np.abs(np.linalg.det(np.where(fine[:, None, None], rest, np.eye(tested)))) > 1e-10 ** tested
+        rest = np.where(fine[:, None, None], rest, np.eye(tested))
+        own, both = np.where(fine, m[:, 0, 0], 1.0), np.where(fine[:, None], m[:, 0, 1:], 0.0)
+        explained = np.einsum("ti,ti->t", both, np.linalg.solve(rest, both[:, :, None])[:, :, 0])
+        left = np.maximum(own - explained, 1e-300)
+        if tested == 1:
+            p = t_two_sided_all(np.sqrt(np.maximum(explained, 0) * df / left), np.full(len(cols), float(df)))
+        else:
+            p = f_upper_all(np.maximum(explained / tested / left * df, 1e-15), tested, np.full(len(cols), float(df)))
+        return np.where(fine, p, 0.0)
 
     def logistic(self, keys: list[Test]) -> None:
         """Likelihood-ratio tests with the variable of fewer levels as the target, the other where that fails."""
@@ -107,7 +116,7 @@ class DataTest:
                     again.append(key)
                     self.known[key] = 0.0
                 else:
-                    self.known[key] = likelihood_ratio(full, less, len(self.data.columns[t]) * len(self.data.columns[other]))[1]
+                    self.known[key] = float(likelihood_ratio(full, less, len(self.data.columns[t]) * len(self.data.columns[other]))[1])
             left = again
 
     def survival(self, x: str, y: str, z: tuple[str, ...]) -> float:

@@ -7,6 +7,7 @@ first by name.
 
 from __future__ import annotations
 
+from collections import deque
 from itertools import combinations
 
 from dagwright.operators.dataset import Data
@@ -162,6 +163,39 @@ def possible_d_sep(g: Graph, x: str, y: str) -> list[str]:
     return sorted(out - {x, y})
 
 
+def least_separating(test, a: str, b: str, z: tuple[str, ...], alpha: float) -> tuple[tuple[str, ...], float]:
+    """The smallest part of a separating set that separates as well, of several the one of the largest p."""
+    for k in range(len(z) + 1):
+        sets = list(combinations(z, k))
+        found = [(p, s) for s, p in zip(sets, test.p_values([(a, b, s) for s in sets]), strict=True) if p > alpha]
+        if found:
+            p, s = max(found, key=lambda x: x[0])
+            return s, p
+    return z, 0.0
+
+
+def rfci_prune(test, g: Graph, seps: Sepsets, alpha: float, knowledge: Knowledge | None = None) -> None:
+    """Removes edges of unshielded triples whose ends are independent given the outer pair's separating set (Colombo et al. 2012).
+
+    A triple a - b - c is a sound collider or non-collider only if b depends on a and on c given that set
+    without b; each edge that goes may leave new triples behind.
+    """
+    todo = deque(unshielded(g))
+    while todo:
+        a, b, c = todo.popleft()
+        z = seps.of(a, c)
+        if z is None or g.adjacent(a, c) or not (g.adjacent(a, b) and g.adjacent(b, c)):
+            continue
+        z = tuple(sorted(z - {b}))
+        for x, p in zip((a, c), test.p_values([(a, b, z), (c, b, z)]), strict=True):
+            if p <= alpha or knowledge and not knowledge.no_edge_required(x, b):
+                continue
+            least, p = least_separating(test, x, b, z, alpha)
+            seps.offer(x, b, least, p)
+            g.remove(x, b)
+            todo.extend((x, v, b) for v in g.neighbors(x) if g.adjacent(v, b))
+
+
 def circles(g: Graph) -> Graph:
     return Graph(list(g.nodes), PAG, dict.fromkeys(g.marks, CIRCLE))
 
@@ -174,10 +208,11 @@ def orient_colliders(g: Graph, rules: PagRules, colliders: list) -> None:
 
 
 def fci_stable(data, initial: Graph | None = None, knowledge: Knowledge | None = None, rule: str | list[str] = "majority", alpha: float = 0.05, fdr: bool = False, depth: int = -1, possible_dsep: bool = True, complete_rules: bool = False):
-    """FCI-Stable: adjacency search, removal within possible d-separating sets, colliders, rules R1 to R4 (R10)."""
+    """FCI-Stable: adjacency search, pruning as in RFCI, removal within possible d-separating sets, colliders, rules R1 to R4 (R10)."""
     test = data if hasattr(data, "p_values") else DataTest(data)
     g, seps = adjacency_search(test, alpha, knowledge, initial, depth, fdr)
     apart = lambda x, y, z: test.p_values([(x, y, tuple(z))])[0] > alpha
+    rfci_prune(test, g, seps, alpha, knowledge)
     if possible_dsep:
         shape = circles(g)
         orient_colliders(shape, PagRules(shape, seps.of, apart, knowledge), judge_triples(test, g, seps, "conservative", alpha, knowledge, depth)[0])
@@ -221,5 +256,5 @@ def pag(dag: Graph, latent: list[str] | None = None) -> Graph:
     return g
 
 
-def skeleton_of(data: Data, alpha: float) -> Graph:
-    return adjacency_search(DataTest(data), alpha)[0]
+def skeleton_of(data: Data, alpha: float, initial: Graph | None = None) -> Graph:
+    return adjacency_search(DataTest(data), alpha, initial=initial)[0]

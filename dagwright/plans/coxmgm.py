@@ -79,8 +79,7 @@ class CoxTerm:
 
 def parts(data: Data) -> tuple[Mgm, dict[str, CoxTerm]]:
     censored = [v.name for v in data.variables if v.kind == "censored"]
-    rest = Data(data.df.drop(*censored), check=False)
-    return Mgm(rest), {c: CoxTerm(data, c) for c in censored}
+    return Mgm(data.without(censored)), {c: CoxTerm(data, c) for c in censored}
 
 
 def fit(model: Mgm, terms: dict[str, CoxTerm], data: Data, lam: tuple[float, ...], start=None) -> tuple[Graph, tuple, float, int]:
@@ -122,7 +121,7 @@ def coxmgm_cv(data: Data, lambdas: list[float], folds: int = 5, seed: int = 0) -
         (model, terms), (_, other), start = parts(train), parts(test), None
         for lam in lams:
             _, start, _, _ = fit(model, terms, train, five(lam), start)
-            held = model.smooth(start[0], Data(test.df.select(*[f"`{c}`" for c in model.data.names()]), check=False), slope=False)[0]
+            held = model.smooth(start[0], test.without(list(terms)), slope=False)[0]
             losses.setdefault(lam, []).append(held + sum(other[c].smooth(start[1][c])[0] for c in terms))
     rows = [{"lambda": lam} | summary(losses[lam]) for lam in lams]
     best, se = min(rows, key=lambda r: r["mean"])["lambda"], rows[one_se(rows)]["lambda"]

@@ -224,6 +224,25 @@ def moral(g: Graph) -> Graph:
     return out
 
 
+def extension(g: Graph) -> Graph:
+    """A directed acyclic graph of the class of a CPDAG (Dor and Tarsi 1992): sinks are taken away one by one."""
+    out, left = g.copy(type=DAG), g.copy()
+    while left.nodes:
+        for v in sorted(left.nodes):
+            flat = [w for w in left.neighbors(v) if left.undirected(v, w)]
+            if not left.children(v) and all(w == u or left.adjacent(w, u) for w in flat for u in left.near[v]):
+                break
+        else:
+            raise ValueError("the graph has no directed extension")
+        for w in flat:
+            out.orient(w, v)
+        for w in left.neighbors(v):
+            left.remove(v, w)
+        left.nodes.remove(v)
+        del left.near[v]
+    return out
+
+
 def cpdag(g: Graph) -> Graph:
     """The class of a directed acyclic graph: its v-structures, closed under the orientation rules."""
     from dagwright.plans.orient import meek

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 
 from dagwright.functions.regression import cox, logistic_batch, multinomial_loglik
 from dagwright.operators.dataset import Data
-from dagwright.plans.graph import DAG, Graph, cpdag
+from dagwright.plans.graph import DAG, Graph, cpdag, extension
 from dagwright.plans.knowledge import Knowledge
 
 
@@ -135,12 +136,29 @@ class Orders:
         at = {v: i for i, v in enumerate(order)}
         return all(at[a] < at[b] for a, b in k.required if a in at and b in at) and (not k.tiers or all(k.tier[a] <= k.tier[b] for a, b in zip(order, order[1:], strict=False)))
 
-    def start(self, rng: random.Random) -> list[str]:
+    def start(self, rng: random.Random, min_degree: bool = False) -> list[str]:
         names = sorted(self.score.nodes())
         rng.shuffle(names)
-        if self.knowledge and self.knowledge.tiers:
-            names.sort(key=lambda v: self.knowledge.tier[v])
-        return names
+        tier = self.knowledge.tier if self.knowledge and self.knowledge.tiers else dict.fromkeys(names, 0)
+        if min_degree:
+            return [v for t in sorted(set(tier.values())) for v in self.by_degree([w for w in names if tier[w] == t])]
+        return sorted(names, key=lambda v: tier[v])
+
+    def by_degree(self, names: list[str]) -> list[str]:
+        """Variables as they are taken from the graph of grow-shrink boundaries, always one of least degree, its neighbours joined; the last taken comes first."""
+        near = {v: set() for v in names}
+        for v in names:
+            for w in grow_shrink(self.score, v, [w for w in names if w != v]):
+                near[v].add(w)
+                near[w].add(v)
+        out = []
+        while near:
+            v = min(near, key=lambda w: len(near[w]))
+            around = near.pop(v)
+            for w in around:
+                near[w] = (near[w] | around) - {v, w}
+            out.append(v)
+        return out[::-1]
 
     def graph(self, order: list[str], algorithm: str, penalty: float) -> Graph:
         g = Graph(sorted(order), DAG)
@@ -164,10 +182,53 @@ def best_moves(orders: Orders, order: list[str]) -> list[str]:
     return order
 
 
+def backward(score, g: Graph, knowledge: Knowledge | None = None) -> Graph:
+    """Greedy deletions between equivalence classes (Chickering 2002), as long as the score falls."""
+    while True:
+        best = None
+        for x in sorted(g.nodes):
+            for y in g.neighbors(x):
+                if g.directed(y, x) or knowledge and not knowledge.no_edge_required(x, y):
+                    continue
+                shared = [v for v in g.neighbors(y) if g.undirected(v, y) and g.adjacent(v, x)]
+                for k in range(len(shared) + 1):
+                    for moved in combinations(shared, k):
+                        kept = [v for v in shared if v not in moved]
+                        if any(not g.adjacent(a, b) for a, b in combinations(kept, 2)):
+                            continue
+                        base = frozenset(kept) | frozenset(g.parents(y)) - {x}
+                        gain = score.local(y, base) - score.local(y, base | {x})
+                        if gain < -1e-9 and (best is None or (gain, x, y, moved) < best):
+                            best = (gain, x, y, moved)
+        if best is None:
+            return g
+        _, x, y, moved = best
+        g = g.copy()
+        g.remove(x, y)
+        for v in moved:
+            g.orient(y, v)
+            if g.undirected(x, v):
+                g.orient(x, v)
+        g = cpdag(extension(g))
+
+
 def boss(data: Data, num_starts: int = 3, penalty: float = 2.0, knowledge: Knowledge | None = None, seed: int = 0) -> Graph:
-    """Best-order score search; the best of several random starts."""
+    """Best-order score search and backward sweeps over equivalence classes in turn; the best of several random starts.
+
+    With tiers or required edges, which a sweep may break, there is the order search alone.
+    """
     orders = Orders(DegenerateGaussian(data, penalty), knowledge)
-    found = [best_moves(orders, orders.start(random.Random(f"{seed}-{i}"))) for i in range(num_starts)]
+    free = not (knowledge and (knowledge.tiers or knowledge.required or knowledge.forbidden))
+    found = []
+    for i in range(num_starts):
+        order = best_moves(orders, orders.start(random.Random(f"{seed}-{i}")))
+        while free:
+            swept = backward(orders.score, orders.graph(order, "BOSS", penalty), knowledge).copy(ambiguous=set())
+            new = best_moves(orders, extension(swept).order())
+            if orders.of(new)[0] >= orders.of(order)[0] - 1e-9:
+                break
+            order = new
+        found.append(order)
     return orders.graph(min(found, key=lambda o: (orders.of(o)[0], sum(map(len, orders.of(o)[1].values())), o)), "BOSS", penalty)
 
 
@@ -225,11 +286,11 @@ def grasp_search(orders: Orders, order: list[str], depth: int, tier: int) -> lis
     return order
 
 
-def grasp(data: Data, depth: int = 2, num_starts: int = 3, penalty: float = 2.0, boss_init: bool = False, knowledge: Knowledge | None = None, seed: int = 0) -> Graph:
+def grasp(data: Data, depth: int = 2, num_starts: int = 3, penalty: float = 2.0, boss_init: bool = False, knowledge: Knowledge | None = None, seed: int = 0, min_degree: bool = False) -> Graph:
     """Greedy relaxations of the sparsest permutation; tier 0 goes at least 4 deep."""
     orders, found = Orders(DegenerateGaussian(data, penalty), knowledge), []
     for i in range(num_starts):
-        order = orders.start(random.Random(f"{seed}-{i}"))
+        order = orders.start(random.Random(f"{seed}-{i}"), min_degree)
         if boss_init:
             order = best_moves(orders, order)
         for tier in (0, 1, 2):

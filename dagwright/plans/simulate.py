@@ -44,6 +44,14 @@ def sim_random_dag(spark: SparkSession, n: int = 1000, p: int = 50, r: int = 0,
     def normal(*salt):
         return F.sqrt(-2 * F.log(uniform(*salt, "a"))) * F.cos(2 * 3.141592653589793 * uniform(*salt, "b"))
 
+    cells = 0
+
+    def cut(df):
+        """Each few columns are written, where there is a shared folder, so that the next ones do not work them out again."""
+        nonlocal cells
+        cells += 1
+        return df.checkpoint() if cells % 4 == 0 and spark.sparkContext.getCheckpointDir() else df
+
     coef = lambda: rng.choice((-1, 1)) * rng.uniform(coef_min, coef_max)
     df = spark.range(n)
 
@@ -63,11 +71,11 @@ def sim_random_dag(spark: SparkSession, n: int = 1000, p: int = 50, r: int = 0,
             raw = linear(parents) + normal(v) * rng.uniform(noise_min, noise_max)
             df = df.withColumn(v, raw)
             mean, sd = df.agg(F.avg(v), F.stddev_samp(v)).first()
-            df = df.withColumn(v, (F.col(v) - mean) / (sd or 1.0))
+            df = cut(df.withColumn(v, (F.col(v) - mean) / (sd or 1.0)))
         elif v in ys:
             w = [F.exp(linear(parents)) for _ in range(3)]
             total, u = w[0] + w[1] + w[2], uniform(v)
-            df = df.withColumn(v, F.when(u * total < w[0], "A").when(u * total < w[0] + w[1], "B").otherwise("C"))
+            df = cut(df.withColumn(v, F.when(u * total < w[0], "A").when(u * total < w[0] + w[1], "B").otherwise("C")))
         else:
             time = F.pow(-F.log(uniform(v)) * F.exp(-linear(parents)), 0.5)
             event = (uniform(v, "c") >= censor_rate).cast("int")

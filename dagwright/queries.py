@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from dagwright.operators import graph_frames as gf
 from dagwright.operators.dataset import Data, finite, rank_scores
 from dagwright.operators.independence import DataTest
-from dagwright.plans.constraint import adjacency_search, fci_stable, pag, pc_stable
+from dagwright.plans.constraint import adjacency_search, fci_stable, pag, pc_stable, step_up
 from dagwright.plans.coxmgm import coxmgm, coxmgm_path
-from dagwright.plans.graph import CPDAG, DAG, Graph, cpdag, graph_of
+from dagwright.plans.graph import CPDAG, DAG, PAG, Graph, cpdag, graph_of
 from dagwright.plans.mgm import mgm, mgm_path
-from dagwright.plans.resample import bootstrap, fold_of, mgm_cv, search_cv, stars, steps, subsample_size
+from dagwright.plans.resample import bootstrap, draws, held_out_loglik, mgm_cv, search_cv, split, stars, steps, subsample_size
 from dagwright.plans.score import DegenerateGaussian, RegressionBic, boss, grasp, grow_shrink_mb
 from dagwright.plans.simulate import sim_random_dag
 
@@ -79,14 +79,20 @@ def drop_missing(spark, sf_dir):
 
 @query("select l_returnflag as level, cast(dense_rank() over (order by l_returnflag) - 1 as bigint) as code, count(*) as n from lineitem group by l_returnflag")
 def level_codes(spark, sf_dir):
-    t = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    return t.select("level", (F.dense_rank().over(Window.orderBy("level")) - 1).cast("long").alias("code"), "n")  # a row for each level
+    """Levels of a data set's variable, and their rows from its moments."""
+    d = Data(mixed(spark, sf_dir).select("qty", "flag"))
+    ones = [d.gram()[0, c + 1] for c in d.columns["flag"]]
+    counts = [d.n - sum(ones), *ones]
+    return spark.createDataFrame([(x, i, int(n)) for i, (x, n) in enumerate(zip(d.variables[1].levels, counts, strict=True))], "level string, code long, n long")
 
 
 @query("select l_orderkey, l_linenumber, case when l_returnflag = 'N' then 1.0::double else 0 end as \"flagMULTINOM.N\", case when l_returnflag = 'R' then 1.0::double else 0 end as \"flagMULTINOM.R\" from lineitem")
 def dummies(spark, sf_dir):
-    t = read(spark, sf_dir, "lineitem")
-    return t.select("l_orderkey", "l_linenumber", *[F.when(F.col("l_returnflag") == x, 1.0).otherwise(0.0).alias(f"flagMULTINOM.{x}") for x in ("N", "R")])
+    """A data set's design columns, not held locally."""
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
+    d = Data(t, check=False, local_cells=0)
+    kinds = {c: t.schema[c].dataType for c in t.columns if c in d.labels}
+    return d.design.select(*[F.col("x")[i].cast(kinds.get(c, "double")).alias(c) for i, c in enumerate(d.labels)])
 
 
 @query("with r as (select o_totalprice as v, rank() over (order by o_totalprice) as r, count(*) over (partition by o_totalprice) as c, count(*) over () as n from orders) select distinct v, round((r + (c - 1) / 2.0) / (n + 1), 9) as p from r")
@@ -95,11 +101,13 @@ def npn_scores(spark, sf_dir):
     return rank_scores(t, "o_totalprice", t.count()).select(F.col("_v").alias("v"), F.round("_p", 9).alias("p"))
 
 
-@query(" union all ".join(f"select '{c}' as name, round(var_samp({c}), 4) as var, min({c}) as low, max({c}) as high, count(distinct {c}) as levels from ({NUMBERS_SQL})" for c in ("qty", "disc", "tax")))
-def variances(spark, sf_dir):
-    t = numbers(spark, sf_dir)
-    out = [t.agg(F.lit(c).alias("name"), F.round(F.var_samp(c), 4).alias("var"), F.min(c).alias("low"), F.max(c).alias("high"), F.countDistinct(c).alias("levels")) for c in ("qty", "disc", "tax")]
-    return out[0].union(out[1]).union(out[2])
+@query(" union all ".join(f"select '{c}' as name, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as sd from ({NUMBERS_SQL})" for c in NUMBERS))
+def standardized(spark, sf_dir):
+    """What a mixed graphical model takes from its columns before it is fitted, of data that pass the variance check."""
+    from dagwright.plans.mgm import Mgm
+
+    m = Mgm(Data(numbers(spark, sf_dir)))
+    return spark.createDataFrame([(c, round(float(a), 4), round(float(b), 4)) for c, a, b in zip(m.xs, m.mean, m.sd, strict=True)], "name string, mean double, sd double")
 
 
 @query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from ({NUMBERS_SQL})" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
@@ -120,15 +128,37 @@ def least_squares(spark, sf_dir):
     return spark.createDataFrame([(round(float(fit.coef[1]), 4), round(float(fit.coef[0]), 3), round(float(fit.r2), 6), d.n)], "slope double, intercept double, r2 double, n long")
 
 
-@query(f"with c as (select corr(net, disc) as xy, corr(net, price) as xz, corr(disc, price) as yz, count(*) as n from ({NUMBERS_SQL})), p as (select (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as r, n from c) select round(r, 6) as r, round(r * sqrt((n - 3) / (1 - r * r)), 2) as t from p")
-def partial_correlation(spark, sf_dir):
-    import numpy as np
+DEPTH_SQL = " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r, count(*) as n from ({NUMBERS_SQL})" for a in NUMBERS for b in NUMBERS if a != b)
+DEPTH_SQL = f"""
+with c as ({DEPTH_SQL}), g as (select * from c where abs(r) * sqrt(n - 2) / sqrt(1 - r * r) > 4),
+p as (select x.a, x.b, abs((x.r - u.r * v.r) / sqrt((1 - u.r * u.r) * (1 - v.r * v.r))) as r, x.n from g x join c u on u.a = x.a join c v on v.a = x.b and v.b = u.b
+  where u.b <> x.b and (exists (select 1 from g k where k.a = x.a and k.b = u.b) or exists (select 1 from g k where k.a = x.b and k.b = u.b)))
+select a as node1, b as node2 from g where a < b and not exists (select 1 from p where p.a = g.a and p.b = g.b and p.r * sqrt(p.n - 3) / sqrt(1 - p.r * p.r) <= 4)
+"""
+
+
+@query(DEPTH_SQL)
+def pairs_given_one(spark, sf_dir):
+    """The stable adjacency search to depth 1: partial correlations given each neighbour."""
+    from dagwright.functions.distributions import t_two_sided
 
     d = Data(numbers(spark, sf_dir))
-    cols = [d.columns[c][0] for c in ("net", "disc", "price")]
-    k = np.linalg.inv(d.covariance()[np.ix_(cols, cols)])
-    r = float(-k[0, 1] / (k[0, 0] * k[1, 1]) ** 0.5)
-    return spark.createDataFrame([(round(r, 6), round(r * ((d.n - 3) / (1 - r * r)) ** 0.5, 2))], "r double, t double")
+    g, _ = adjacency_search(DataTest(d), t_two_sided(4.0, d.n - 3), depth=1)
+    return g.frame(spark).select("node1", "node2")
+
+
+@query("with g as (select l_returnflag as f, count(*) as n, avg(l_discount) as m from lineitem group by 1), t as (select avg(l_discount) as m, count(*) as n, var_pop(l_discount) * count(*) as tss from lineitem), b as (select sum(g.n * (g.m - t.m) * (g.m - t.m)) as ss from g, t) select 'disc' as x, 'flag' as y, round(pow(1 + 2 * ((ss / 2) / ((tss - ss) / (n - 3))) / (n - 3), -(n - 3) / 2.0), 7) as p from b, t")
+def mixed_test(spark, sf_dir):
+    """The p value of a continuous and a three-level variable; the F tail of two degrees of freedom has a closed form."""
+    p = DataTest(Data(mixed(spark, sf_dir).select("disc", "flag"))).p_values([("disc", "flag", ())])[0]
+    return spark.createDataFrame([("disc", "flag", round(p, 7))], "x string, y string, p double")
+
+
+@query("with t as (select l_discount as y, l_tax as x, l_returnflag as f from lineitem), w as (select sum(n * vy) as syy, sum(n * c) as sxy, sum(n * vx) as sxx from (select count(*) as n, var_pop(y) as vy, var_pop(x) as vx, covar_pop(x, y) as c from t group by f)), a as (select count(*) as n, count(*) * var_pop(y) as syy, count(*) * covar_pop(x, y) as sxy, count(*) * var_pop(x) as sxx from t), r as (select w.syy - w.sxy * w.sxy / w.sxx as full_rss, a.syy - a.sxy * a.sxy / a.sxx as less_rss, n from w, a) select round(pow(1 + 2 * (((less_rss - full_rss) / 2) / (full_rss / (n - 4))) / (n - 4), -(n - 4) / 2.0), 7) as p from r")
+def mixed_test_given_one(spark, sf_dir):
+    """The same given a continuous third variable."""
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("flag"))
+    return spark.createDataFrame([(round(DataTest(Data(t)).p_values([("disc", "flag", ("tax",))])[0], 7),)], "p double")
 
 
 @query("with g as (select l_returnflag as f, count(*) as n, avg(l_quantity) as m from lineitem group by 1), t as (select avg(l_quantity) as m, count(*) as n, var_pop(l_quantity) * count(*) as tss from lineitem), b as (select sum(g.n * (g.m - t.m) * (g.m - t.m)) as ss, count(*) as k from g, t) select round((ss / (k - 1)) / ((tss - ss) / (n - k)), 6) as f, k - 1 as df1, n - k as df2 from b, t")
@@ -140,14 +170,12 @@ def anova_f(spark, sf_dir):
     return spark.createDataFrame([(round(nested_f(d.gram(), d.n, d.columns["qty"][0], own, [])[0], 6), len(own), d.n - 1 - len(own))], "f double, df1 long, df2 long")
 
 
-G2 = "with c as (select l_returnflag as a, l_linestatus as b, count(*)::double as o from lineitem group by 1, 2), m as (select c.*, sum(o) over (partition by a) * sum(o) over (partition by b) / sum(o) over () as e from c)"
-
-
-@query(G2 + " select round(2 * sum(o * ln(o / e)), 3) as g2, (count(distinct a) - 1) * (count(distinct b) - 1) as df from m")
-def contingency_g2(spark, sf_dir):
-    c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o"))
-    e = F.sum("o").over(Window.partitionBy("a")) * F.sum("o").over(Window.partitionBy("b")) / F.sum("o").over(Window.partitionBy(F.lit(1)))  # a row for each cell
-    return c.withColumn("e", e).agg(F.round(2 * F.sum(F.col("o") * F.log(F.col("o") / F.col("e"))), 3).alias("g2"), ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("df"))
+@query("with e as (select event_type as a, value > 10 as b from events where value is not null), c as (select a, b, count(*)::double as o from e group by 1, 2), m as (select c.*, sum(o) over (partition by a) * sum(o) over (partition by b) / sum(o) over () as e from c), x as (select sum(o * ln(o / e)) as half, (count(distinct a) - 1) as df from m) select round(exp(-half) * (1 + half), 6) as p, df from x")
+def contingency_test(spark, sf_dir):
+    """The likelihood-ratio test of a two-level and a five-level variable by logistic fits; its tail of four degrees of freedom has a closed form."""
+    t = read(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("a"), (F.col("value") > 10).alias("b"))
+    d = Data(t)
+    return spark.createDataFrame([(round(DataTest(d).p_values([("a", "b", ())])[0], 6), len(d.columns["a"]) * len(d.columns["b"]))], "p double, df long")
 
 
 @query("with c as (%s) select a as target, b as parent, round(n * ln(1 - r * r) + ln(n), 4) as score from c" % " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r, count(*) as n from ({NUMBERS_SQL})" for a in ("qty", "tax") for b in ("disc", "price")))
@@ -156,14 +184,23 @@ def dg_scores(spark, sf_dir):
     return spark.createDataFrame([(a, b, round(float(s.local(a, frozenset({b}))), 4)) for a in ("qty", "tax") for b in ("disc", "price")], "target string, parent string, score double")
 
 
-@query("with p as (select c_custkey, (c_custkey %% 97 + 1) / 10000.0::double + c_custkey / 1e9 as p, count(*) over () as m from customer), r as (select *, row_number() over (order by p, c_custkey) as i from p), k as (select coalesce(max(i), 0) as k from r where p <= 0.005 * i / m) select c_custkey, i <= k as rejected from r, k".replace("%%", "%"))
+STEP_SQL = "with p as (select n_nationkey, n_name, (n_nationkey * 7 % 25 + 1) / 400.0::double as p, count(*) over () as m from nation), r as (select *, row_number() over (order by p, n_nationkey) as i from p), k as (select coalesce(max(i), 0) as k from r where p <= {level} * i / m) select n_nationkey, i <= k as rejected from r, k"
+
+
+@query(STEP_SQL.format(level="0.3"))
 def fdr_step_up(spark, sf_dir):
-    """Benjamini-Hochberg without one sorted task: distinct values are few, and their counts add up."""
-    t = read(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 97 + 1) / F.lit(10000.0) + F.col("c_custkey") / F.lit(1e9)).alias("p"))
-    m = t.count()
-    ranks = rank_scores(t, "p", m).select(F.col("_v").alias("p"), (F.col("_p") * (m + 1)).alias("i"))  # all values differ
-    cut = ranks.where(F.col("p") <= 0.005 * F.col("i") / m).agg(F.coalesce(F.max("p"), F.lit(-1.0)).alias("cut"))
-    return t.crossJoin(F.broadcast(cut)).select("c_custkey", (F.col("p") <= F.col("cut")).alias("rejected"))  # one row
+    """Benjamini and Hochberg's rule as the adjacency search applies it, to a p value for each nation."""
+    p = {r.n_nationkey: (r.n_nationkey * 7 % 25 + 1) / 400.0 for r in read(spark, sf_dir, "nation").collect()}  # 25 rows at any size
+    kept = step_up(p, 0.3, len(p), False)
+    return spark.createDataFrame([(int(k), k not in kept) for k in p], "n_nationkey int, rejected boolean")
+
+
+@query(STEP_SQL.format(level="(0.9 / (select sum(1.0 / (i + 1)) from range(25) t(i)))"))
+def fdr_step_up_dependent(spark, sf_dir):
+    """Benjamini and Yekutieli's rule."""
+    p = {r.n_nationkey: (r.n_nationkey * 7 % 25 + 1) / 400.0 for r in read(spark, sf_dir, "nation").collect()}
+    kept = step_up(p, 0.9, len(p), True)
+    return spark.createDataFrame([(int(k), k not in kept) for k in p], "n_nationkey int, rejected boolean")
 
 
 @query(" union all ".join(f"select '{a}' as node1, '{b}' as node2 from (select corr({a}, {b}) as r, count(*) as n from ({NUMBERS_SQL})) where abs(r) * sqrt(n - 2) / sqrt(1 - r * r) > 4" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
@@ -175,11 +212,21 @@ def dependent_pairs(spark, sf_dir):
     return g.frame(spark).select("node1", "node2")
 
 
-@query("with c as (select l_returnflag as f, count(*)::double as n from lineitem group by 1), t as (select sum(n) as t from c) select round(sqrt(sum(n / t * (1 - n / t))), 9) as w from c, t")
-def mgm_weight(spark, sf_dir):
+@query("with c as (select l_returnflag as f, count(*)::double as n from lineitem group by 1), t as (select sum(n) as t from c), q as (select var_samp(l_quantity) * (count(*) - 1) / count(*) / var_samp(l_quantity) / 2 as half from lineitem) select round(sqrt(sum(n / t * (1 - n / t))), 9) as w, round(any_value(half) - sum(n / t * ln((n + 1) / (t + 3))), 7) as loss from c, t, q")
+def mgm_start(spark, sf_dir):
+    """The penalty weight of a discrete variable and the loss of a mixed graphical model without edges."""
+    from dagwright.plans.mgm import Mgm
+
+    m = Mgm(Data(mixed(spark, sf_dir).select("qty", "flag")))
+    return spark.createDataFrame([(round(float(m.wd[0]), 9), round(m.smooth(m.first, slope=False)[0], 7))], "w double, loss double")
+
+
+@query("with c as (%s) select round(max(abs(r)) * 2 * (max(n) - 1) / max(n), 6) as top from c" % " union all ".join(f"select corr({a}, {b}) as r, count(*) as n from ({NUMBERS_SQL})" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
+def mgm_largest_penalty(spark, sf_dir):
+    """The least penalty that leaves no edge between continuous variables, from the gradient without edges."""
     from dagwright.plans.mgm import Mgm
 
-    return spark.createDataFrame([(round(float(Mgm(Data(mixed(spark, sf_dir).select("qty", "flag"))).wd[0]), 9),)], "w double")
+    return spark.createDataFrame([(round(Mgm(Data(numbers(spark, sf_dir))).lambda_max(), 6),)], "top double")
 
 
 @query("select count(*) as n, case when floor(10 * sqrt(count(*))) < count(*) then floor(10 * sqrt(count(*))) else floor(3 * count(*) / 4) end::bigint as size from lineitem")
@@ -258,11 +305,31 @@ def ensemble_frequencies(spark, sf_dir):
     return out.select("var1", "var2", F.round("undir", 6).alias("undir"), F.round("none", 6).alias("none"), "interaction")
 
 
-@query("with t as (select event_type as stratum, round(value, 1) as time, count(*) as d from events group by 1, 2) select stratum, time, d, sum(d) over (partition by stratum order by time desc)::bigint as at_risk from t")
-def risk_sets(spark, sf_dir):
-    """Sizes of risk sets: times are counted before they are summed from the largest down."""
-    t = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stratum"), F.round("value", 1).alias("time")).agg(F.count(F.lit(1)).alias("d"))
-    return t.withColumn("at_risk", F.sum("d").over(Window.partitionBy("stratum").orderBy(F.desc("time"))))
+RISK_SQL = "with e as (select event_type as s, round(value, 1) as t, (user_id % 3 <> 0)::int as e from events where value is not null), g as (select s, t, sum(e)::double as m, count(*) as n from e group by 1, 2), r as (select *, sum(n) over (partition by s order by t desc)::double as at_risk from g)"
+
+
+@query(RISK_SQL + ", j as (select *, coalesce(list_sum(list_transform(range(m::bigint), lambda l: 1 / (at_risk - l))), 0) as jump from r), h as (select *, sum(jump) over (partition by s order by t) as hazard from j), x as (select e.s, e.e, e.e - hazard + e.e * case when m > 0 then at_risk * jump / m - 1 else 0 end as residual from e join h using (s, t)) select s, e, count(*) as n, round(sum(residual), 4) as total, round(sum(residual * residual), 4) as squares from x group by 1, 2")
+def survival_residuals(spark, sf_dir):
+    """Working residuals of a stratified censored variable, by passes over the rows."""
+    t = read(spark, sf_dir, "events").where("value is not null")
+    d = Data(t.select(F.struct(F.round("value", 1).alias("time"), (F.col("user_id") % 3 != 0).cast("int").alias("event"), F.col("event_type").alias("strata")).alias("T"), F.col("event_type").alias("s")), check=False, local_cells=0)
+    levels, x = d.variables[1].levels, F.col("x")
+    name = F.lit(levels[0])
+    for level, c in zip(levels[1:], d.columns["s"], strict=True):
+        name = F.when(x[c] == 1, level).otherwise(name)
+    rows = d.design.select(name.alias("s"), x[1].cast("int").alias("e"), x[d.regressors["T"][0]].alias("r"))
+    return rows.groupBy("s", "e").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 4).alias("total"), F.round(F.sum(F.col("r") * F.col("r")), 4).alias("squares"))
+
+
+@query(RISK_SQL + ", j as (select list_sum(list_transform(range(m::bigint), lambda l: ln(at_risk - l))) as x from r where m > 0) select round(-sum(x), 4) as loglik from j")
+def cox_without_effects(spark, sf_dir):
+    """The partial log-likelihood, with Efron's ties and strata, of the Cox model without regressors."""
+    from dagwright.functions.regression import cox
+
+    t = read(spark, sf_dir, "events").where("value is not null")
+    d = Data(t.select(F.struct(F.round("value", 1).alias("time"), (F.col("user_id") % 3 != 0).cast("int").alias("event"), F.col("event_type").alias("strata")).alias("T")), check=False)
+    time, event, strata = d.survival("T")
+    return spark.createDataFrame([(round(cox(time, event, d.local[:, []], strata=strata).loglik, 4),)], "loglik double")
 
 
 @query()
@@ -348,10 +415,45 @@ def grasp_edges(spark, sf_dir):
     return graph_rows(spark, grasp(Data(mixed(spark, sf_dir)), num_starts=2))
 
 
-@query()
+BIC_SQL = f"with m as (select *, l_returnflag as flag from (select l_discount as disc, l_extendedprice as price, l_quantity as qty, l_returnflag from lineitem)), t as (select count(*) as n, var_pop(qty) * count(*) as tss from m), b as (select sum(g.n * (g.a - t.a) * (g.a - t.a)) as ss from (select flag, count(*) as n, avg(qty) as a from m group by 1) g, (select avg(qty) as a from m) t)"
+
+
+@query(BIC_SQL + " select 'qty' as target, 'flag' as parent, round(n * ln(1 - ss / tss) + 2 * ln(n), 4) as score from b, t" + "".join(f" union all select '{a}', '{b}', round(n * ln(1 - r * r) + ln(n), 4) from (select corr({a}, {b}) as r, count(*) as n from m)" for a, b in (("qty", "price"), ("price", "disc"), ("disc", "qty"))))
 def bic_scores(spark, sf_dir):
-    s = RegressionBic(Data(mixed(spark, sf_dir)), penalty=1.0)
-    return spark.createDataFrame([(a, b, float(s.local(a, frozenset({b})))) for a in s.nodes() for b in s.nodes() if a != b], "target string, parent string, score double")
+    s = RegressionBic(Data(mixed(spark, sf_dir).select("disc", "price", "qty", "flag")), penalty=1.0)
+    return spark.createDataFrame([(a, b, round(float(s.local(a, frozenset({b}))), 4)) for a, b in (("qty", "flag"), ("qty", "price"), ("price", "disc"), ("disc", "qty"))], "target string, parent string, score double")
+
+
+def blanket_sql(y: str, a: str, b: str) -> str:
+    """Grow-shrink over two candidates: the better one if it helps, the other if it helps too, then the first away if it no longer does."""
+    r2 = "((ra * ra + rb * rb - 2 * ra * rb * ab) / (1 - ab * ab))"
+    return f"""select '{y}' as target, case when least(sa, sb) >= 0 then '' when sab < least(sa, sb) then (case when least(sa, sb) < sab then '' else '{min(a, b)} {max(a, b)}' end) when sa <= sb then '{a}' else '{b}' end as blanket
+from (select n * ln(1 - ra * ra) + ln(n) as sa, n * ln(1 - rb * rb) + ln(n) as sb, n * ln(1 - {r2}) + 2 * ln(n) as sab from (select corr({y}, {a}) as ra, corr({y}, {b}) as rb, corr({a}, {b}) as ab, count(*) as n from ({NUMBERS_SQL})))"""
+
+
+@query(" union all ".join(blanket_sql(*x) for x in (("disc", "price", "qty"), ("price", "disc", "qty"), ("qty", "disc", "price"))))
+def blankets_of_three(spark, sf_dir):
+    """Markov boundaries by grow-shrink among three continuous variables."""
+    d = Data(numbers(spark, sf_dir).select("disc", "price", "qty"))
+    return spark.createDataFrame([(v, " ".join(grow_shrink_mb(d, v))) for v in d.names()], "target string, blanket string")
+
+
+HELD_SQL = "with t as (select l_extendedprice as y, l_quantity as x, l_tax as tax, (l_quantity::bigint % 3 + 1)::int as k from lineitem)"
+
+
+@query(HELD_SQL + " select f.k as fold, round(-count(*) / 2.0 * ln(sum((y - b0 - b1 * x) * (y - b0 - b1 * x)) / count(*)), 2) as loglik, count(*) as n from t join (select i::int as k, (select regr_slope(y, x) from t where t.k <> i) as b1, (select regr_intercept(y, x) from t where t.k <> i) as b0 from range(1, 4) r(i)) f using (k) group by f.k")
+def held_out_scores(spark, sf_dir):
+    """What cross-validation of a search scores: fits on training rows, likelihoods of test rows, folds by a given column."""
+    d = Data(numbers(spark, sf_dir))
+    folds = split(d, F.pmod(F.col("qty").cast("long"), F.lit(3)) + 1)
+    return spark.createDataFrame([(k, round(held_out_loglik(a, b, "price", ["qty"]), 2), b.n) for k, (a, b) in enumerate(folds, 1)], "fold int, loglik double, n long")
+
+
+@query("select 3 as number, case when floor(10 * sqrt(count(*))) < count(*) then floor(10 * sqrt(count(*))) else floor(3 * count(*) / 4) end::bigint as size from lineitem")
+def subsample_rows(spark, sf_dir):
+    """The rows of three subsamples, which are of one size."""
+    parts = draws(Data(numbers(spark, sf_dir)), 3, None, seed=1)
+    return spark.createDataFrame([(len(parts), d.n) for d in parts[:1] if len({d.n for d in parts}) == 1], "number int, size long")
 
 
 @query()
@@ -366,7 +468,8 @@ def graph_pag(spark, sf_dir):
     return graph_rows(spark, pag(graph_of(list(NODES), TRUTH, DAG), ["b"]))
 
 
-@query()
+#: Arrows into c and e are colliders, c - d follows since a and d are apart, and a - f may go either way.
+@query("select * from (values ('a', '-', '>', 'c'), ('b', '-', '>', 'c'), ('c', '-', '>', 'd'), ('d', '-', '>', 'e'), ('b', '-', '>', 'e'), ('f', '-', '>', 'e'), ('a', '-', '-', 'f')) g(node1, ep1, ep2, node2)")
 def graph_cpdag(spark, sf_dir):
     return graph_rows(spark, cpdag(graph_of(list(NODES), TRUTH, DAG)))
 
@@ -406,6 +509,72 @@ def mgm_fci_cv_rows(spark, sf_dir):
     return spark.createDataFrame([(r["lambda"], r["alpha"], r["orientRule"], r["mean"], r["se"], r["size"]) for r in rows], "lambda double, alpha double, orientRule string, mean double, se double, size double")
 
 
-@query()
+@query("select k::int as fold, (floor(n * k / 5.0) - floor(n * (k - 1) / 5.0))::bigint as n from (select count(*) as n from lineitem), range(1, 6) r(k)")
 def folds(spark, sf_dir):
-    return fold_of(mixed(spark, sf_dir), 5, 0).groupBy(F.col("_fold").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(k, b.n) for k, (_, b) in enumerate(split(Data(mixed(spark, sf_dir)), 5), 1)], "fold int, n long")
+
+
+def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directed graph of the data: suppliers point at nations, nations at regions."""
+    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("node1"), F.lit("-").alias("ep1"), F.lit(">").alias("ep2"), F.concat(F.lit(b), F.col(y).cast("string")).alias("node2"))
+    return edge(s, "s", "s_suppkey", "n", "s_nationkey").union(edge(n, "n", "n_nationkey", "r", "n_regionkey"))
+
+
+REGION_SQL = "e as (select 's' || s_suppkey as a, 'n' || s_nationkey as b from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
+
+
+@query(f"with recursive {REGION_SQL}, r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as ancestor, b as node from r")
+def region_ancestors(spark, sf_dir):
+    return gf.ancestors(region_edges(spark, sf_dir))
+
+
+@query(f"with {REGION_SQL} select x.a as a, x.b as c, y.a as b from e x join e y on x.b = y.b and x.a < y.a")
+def region_v_structures(spark, sf_dir):
+    return gf.v_structures(region_edges(spark, sf_dir))
+
+
+@query(f"with {REGION_SQL}, m as (select a as u, b as v from e union select b, a from e) select u as node, count(*) as neighbors, string_agg(v, ' ' order by v) as names from m group by u")
+def region_neighbors(spark, sf_dir):
+    return gf.neighbors(region_edges(spark, sf_dir)).select("node", F.size("neighbors").cast("long").alias("neighbors"), F.array_join("neighbors", " ").alias("names"))
+
+
+@query(f"with {REGION_SQL}, m as (select a as u, b as v from e union select b, a from e union select x.a, y.a from e x join e y on x.b = y.b and x.a <> y.a) select u as node, string_agg(v, ' ' order by v) as blanket from m group by u")
+def region_blankets(spark, sf_dir):
+    return gf.markov_blankets(region_edges(spark, sf_dir)).select("node", F.array_join("blanket", " ").alias("blanket"))
+
+
+@query(f"with {REGION_SQL}, m as (select least(a, b) as a, greatest(a, b) as b from e union select x.a, y.a from e x join e y on x.b = y.b and x.a < y.a) select a as node1, '-' as ep1, '-' as ep2, b as node2 from m")
+def region_moral(spark, sf_dir):
+    return gf.moral(region_edges(spark, sf_dir))
+
+
+#: Two partial ancestral graphs over the nodes of TRUTH but b, an estimate and a true one.
+PAG_TRUTH = ("a o-> c", "c --> d", "d --> e", "f o-> e", "a o-o f", "c o-> e")
+PAG_GUESS = ("a --> c", "c o-> d", "e --> d", "f --> e", "a o-o f", "c <-> e")
+
+
+def mark_sql(lines: tuple[str, ...]) -> str:
+    marks = {"-->": "->", "o->": "o>", "o-o": "oo", "<->": ">>"}
+    rows = [(a, marks[op], b) for a, op, b in map(str.split, lines)]
+    return ", ".join(f"('{min(a, b)}', '{max(a, b)}', '{m[a > b]}', '{m[a < b]}')" for a, m, b in rows)
+
+
+PAG_SQL = f"""
+with recursive g(a, b, ea, eb) as (values {mark_sql(PAG_GUESS)}), t(a, b, ta, tb) as (values {mark_sql(PAG_TRUTH)}), d as (select node1 as a, node2 as b from {edge_sql(TRUTH)}),
+r as (select a, b from d union select r.a, d.b from r join d on r.b = d.a),
+x as (select a as v, b as u, ea as e, ta as t from g join t using (a, b) union all select b, a, eb, tb from g join t using (a, b)),
+y as (select *, exists (select 1 from r where r.a = x.v and r.b = x.u) as up from x),
+c as (select sum(case when e = '>' and (t = '>' or t = 'o' and not up) then 1 when e = 'o' and t = 'o' then 0.5 else 0 end)::double as tp,
+  sum(case when e = '-' and (t = '-' or t = 'o' and up) then 1 when e = 'o' and t = 'o' then 0.5 else 0 end)::double as tn,
+  sum(case when e = '>' and (t = '-' or t = 'o' and up) then 1 when e = 'o' and t = '-' then 0.5 else 0 end)::double as fp,
+  sum(case when e = '-' and (t = '>' or t = 'o' and not up) then 1 when e = 'o' and t = '>' then 0.5 else 0 end)::double as fn from y)
+select tp / (tp + fp) as "orientPrecision", tp / (tp + fn) as "orientRecall", 2 * tp / (2 * tp + fp + fn) as "orientF1", (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) as "orientMCC" from c
+"""
+
+
+@query(PAG_SQL)
+def graph_pag_orientation(spark, sf_dir):
+    nodes = [v for v in NODES if v != "b"]
+    est, truth = (graph_of(nodes, x, PAG).frame(spark) for x in (PAG_GUESS, PAG_TRUTH))
+    return gf.orientation_metrics(est, truth, PAG, edges_of(spark, TRUTH, DAG))
