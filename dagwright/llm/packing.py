@@ -9,6 +9,8 @@ so each shard leaves one sequence unfilled at most.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 
@@ -25,54 +27,94 @@ SHARD_TOKENS = 1 << 20
 SLICE_CHARS = 2 << 20
 
 
+#: What a vocabulary file says of itself if texts may be taken apart at white space (fixed values, of the file's format).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Letters up to U+012F, punctuation and common white space: composed already, of one lower-case letter each whatever stands beside it.
+UNSAFE = re.compile("[^\t-\r -\u012f\u2010-\u2027\u2030-\u205e\u20ac]")
+#: Stands between words that are encoded together; no word has it.
+BETWEEN = "|"
+
+
+def drops_white_space(model: dict) -> bool:
+    """Whether a vocabulary's ids of a text are those of its words in a row, case being dropped."""
+    kinds = [(model.get(k) or {}).get(f"{k.replace('_', '')}s") for k in ("normalizer", "pre_tokenizer")]
+    return kinds == [NORMALIZERS, PRETOKENIZERS] and model.get("post_processor") is None and all(x["special"] for x in model["added_tokens"])
+
+
 class SegmentIds:
-    """Ids of white-space-parted segments of texts, by the tokenizer, each segment encoded once.
+    """Ids of texts by the tokenizer, each white-space-parted segment encoded once.
 
-    The vocabulary's normalizer and pre-tokenizer never look across white space and drop it, so a
-    text's ids are those of its segments in a row. Closing punctuation after a letter or digit is a
-    token group of its own and case is dropped, so segments share the ids of their cores. The caches
-    are cleared when they are full.
+    That holds for vocabularies whose normalizer and pre-tokenizer never look across white space and
+    drop it; texts of others are encoded whole. Segments are looked up in lower case, and closing
+    punctuation after a letter or digit, a token group of its own, apart. Words of letters alone go
+    through the model without the normalizer, many at once. Of segments seen, the last LIMIT to twice
+    as many are kept.
     """
 
-    LIMIT, CORES = 400_000, 1_000_000
+    LIMIT, TOGETHER = 400_000, 2000
     CLOSING = ".,;:!?"
 
     def __init__(self, vocabulary: bytes, kind: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True
-        self.code, self.ids, self.cores = {"<u2": "H", "<u4": "I"}[kind], {}, {}
+        self.parted = drops_white_space(json.loads(vocabulary))
+        self.code, self.ids, self.old = {"<u2": "H", "<u4": "I"}[kind], {}, {}
+        if self.parted:
+            self.plain = Tokenizer.from_str(json.dumps(json.loads(vocabulary) | {"normalizer": None, "pre_tokenizer": None}))
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.between = self.plain.encode(BETWEEN).ids
+            self.parted = len(self.between) == 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the separators \x1c to \x1f are white space to str.split() only
-        plain = [not any(x in t for x in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
+        if not self.parted:
+            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [self.unsafe(t) if UNSAFE.search(t) else t.lower().split() for t in texts]
         if len(self.ids) > self.LIMIT:
-            self.ids.clear()
+            self.ids, self.old = {}, self.ids
         self.add(set().union(*words).difference(self.ids))
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
+    @staticmethod
+    def unsafe(text: str) -> list[str]:
+        # the separators \x1c to \x1f are white space to str.split() only
+        return [text] if re.search("[\x1c-\x1f]", text) else [w if UNSAFE.search(w) else w.lower() for w in text.split()]
 
     def add(self, new: set[str]) -> None:
-        parts, cores = [], self.cores
-        for w in new:
-            core = w.rstrip(self.CLOSING)
-            if core and core[-1].lower().isalnum():
-                # up to U+012F lower case is one character for one, whatever stands beside it
-                parts.append((w, core.lower() if max(core) < "\u0130" else core, w[len(core) :]))
-            else:
-                parts.append((w, w, ""))
-        if len(cores) > self.CORES:
-            cores.clear()
-        missing = list({x for _, core, tail in parts for x in (core, tail)}.difference(cores))
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cores[x] = array(self.code, e.ids).tobytes()
-        for w, core, tail in parts:
-            self.ids[w] = cores[core] + cores[tail] if tail else cores[core]
+        ids, old, closing = self.ids, self.old, self.CLOSING
+        for w in new.intersection(old):
+            ids[w] = old[w]
+        new = new.difference(old)
+        ended = [(w, core) for w in new if w[-1:] in closing and (core := w.rstrip(closing)) and core[-1].isalnum() and not UNSAFE.search(w)]
+        new = new.difference([w for w, _ in ended]).union([c for _, c in ended], [w[len(c) :] for w, c in ended]).difference(ids)
+        self.encode_new(list(new))
+        for w, core in ended:
+            ids[w] = ids[core] + ids[w[len(core) :]]
+
+    def encode_new(self, new: list[str]) -> None:
+        ids = self.ids
+        letters = [w for w in new if w.isalpha() and not UNSAFE.search(w)]
+        groups = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
+        kind = "<u2" if self.code == "H" else "<u4"
+        for i in range(0, len(groups), 8):
+            some = groups[i : i + 8]
+            for group, e in zip(some, self.plain.encode_batch_fast([f" {BETWEEN} ".join(g) for g in some], add_special_tokens=False), strict=True):
+                found = np.array(e.ids, kind)
+                cuts = np.flatnonzero(found == self.between[0])
+                blob, size = found.tobytes(), found.itemsize
+                starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(blob)]
+                ids.update(zip(group, [blob[a:z] for a, z in zip(starts, ends, strict=True)], strict=True))
+        others = list(set(new).difference(letters))
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids[w] = array(self.code, e.ids).tobytes()
 
 
 def assign(lengths: np.ndarray, room: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:

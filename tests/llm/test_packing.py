@@ -82,3 +82,30 @@ def test_segments_have_the_tokenizers_ids():
     texts = ["It's, I'LL. can't!? É,È; ẞ. İ, ΑΣ. x². a.,b é, ́. 3.5, '' 's, ...", "<|endoftext|>, Don't!! ., é.́  x"]
     for x, got in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_a_vocabulary_that_looks_across_white_space(spark, tmp_path):
+    """Without the lower case that shared segments rest on, texts are encoded whole."""
+    import json
+
+    model = json.loads(open(PATH).read())
+    model["normalizer"]["normalizers"].pop()
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(model))
+    rows = [(1, "The THE the, it's A B"), (2, None)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), str(other), keep_ids=True).collect()
+    want = Tokenizer.from_file(str(other)).encode(rows[0][1], add_special_tokens=False).ids
+    assert [np.frombuffer(p.ids, "<u4").tolist() for p in got if p.doc_id == 1] == [[*want, 1]]
+
+
+def test_segments_agree_with_whole_texts():
+    from dagwright.llm.packing import SegmentIds
+
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    s = SegmentIds(open(PATH, "rb").read(), "<u2")
+    s.LIMIT = 50
+    texts = ["Ärger, GRÜSSE. Straße! café", "don't I'LL 's s's x's.", "a|b | c || d", "12.5, x1. 1x; ½ ²", "ÿŸ İstanbul ĳ Ŀ ſ ŉ", "A\x85B\xa0C D", "… “Quoted,” said… €5.", "é combining é x", "...", "a...b ,;: x,y.z.", "ΑΣ ς. ΑΣ", "ª º µ"] * 3 + [f"Word{i}, word{i}." for i in range(200)]
+    for i in range(0, len(texts), 7):
+        for x, ids in zip(texts[i : i + 7], s.encode(texts[i : i + 7]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
