@@ -7,6 +7,7 @@ gradient itself works on parameters, whose number depends on the columns alone.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 
 import numpy as np
@@ -40,6 +41,7 @@ class Mgm:
         self.p, self.levels = len(self.x), [len(data.columns[v]) + 1 for v in self.ds]
         self.cuts = np.concatenate(([0], np.cumsum(self.levels))).astype(int)
         self.L = int(self.cuts[-1])
+        self.first_levels = {k: self.cuts[:-1][np.array(self.levels) == k] for k in sorted(set(self.levels))}
         g, n = data.gram(), max(1, data.n)
         mean = g[0, 1:] / n
         self.mean, self.sd = scale or (mean[self.x], np.sqrt(np.maximum((np.diag(g)[1:] / n - mean**2)[self.x] * n / max(1, n - 1), 1e-300)))
@@ -48,6 +50,8 @@ class Mgm:
         self.wd = np.array([math.sqrt(float((r * (1 - r)).sum())) for r in rates]) if rates else np.zeros(0)
         self.shapes = [(self.p,), (self.p,), (self.p, self.p), (self.p, self.L), (self.L, self.L), (self.L,)]
         self.size = sum(math.prod(s) for s in self.shapes)
+        # both copies of a symmetric parameter move together, so that each counts half in products of parameters
+        self.half = self.join([np.ones(self.p), np.ones(self.p), np.full(self.shapes[2], 0.5), np.ones(self.shapes[3]), np.full(self.shapes[4], 0.5), np.ones(self.L)])
         self.own = np.zeros((self.L, self.L), bool)
         for a, b in zip(self.cuts, self.cuts[1:], strict=False):
             self.own[a:b, a:b] = True
@@ -89,13 +93,16 @@ class Mgm:
             res = fit - x
             eta = c + x @ th + d @ ph
             prob, loss = np.empty_like(eta), 0.0
-            for i, j in zip(self.cuts, self.cuts[1:], strict=False):
-                e = eta[:, i:j]
-                top = e.max(axis=1, keepdims=True)
-                z = np.exp(e - top)
-                s = z.sum(axis=1, keepdims=True)
-                prob[:, i:j] = z / s
-                loss += float((np.log(s) + top).sum() - (e * d[:, i:j]).sum())
+            for k, first in self.first_levels.items():  # variables of as many levels, level by level
+                cols = [first + j for j in range(k)]
+                each = [eta[:, own] for own in cols]
+                top = functools.reduce(np.maximum, each)
+                z = [np.exp(e - top) for e in each]
+                total = functools.reduce(np.add, z)
+                for own, e in zip(cols, z, strict=True):
+                    prob[:, own] = e / total
+                loss += float((np.log(total) + top).sum())
+            loss -= float((eta * d).sum())
             loss += float(-0.5 * len(x) * np.log(b).sum() + 0.5 * (b * res**2).sum())
             if not slope:
                 return np.array([loss])
@@ -111,6 +118,13 @@ class Mgm:
         gP[self.own] = 0
         return float(got[0]), self.join(parts)
 
+    def norms(self, th: np.ndarray, ph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Norms of the groups of a continuous and a discrete variable, and of two discrete ones."""
+        if not self.levels:
+            return np.zeros((self.p, 0)), np.zeros((0, 0))
+        at = self.cuts[:-1]
+        return np.sqrt(np.add.reduceat(th**2, at, axis=1)), np.sqrt(np.add.reduceat(np.add.reduceat(ph**2, at, axis=0), at, axis=1))
+
     def prox(self, v: np.ndarray, step: float, lam: tuple[float, float, float]) -> tuple[np.ndarray, float]:
         """Soft thresholds of continuous pairs and group thresholds of the others; and the penalty."""
         a, b, B, th, ph, c = (x.copy() for x in self.split(v))
@@ -118,19 +132,19 @@ class Mgm:
         w = lam[0] * np.outer(self.wx, self.wx)
         B = np.sign(B) * np.maximum(np.abs(B) - step * w, 0)
         np.fill_diagonal(B, 0)
-        total += float((np.triu(w, 1) * np.abs(np.triu(B, 1))).sum()) * 2
+        total += float((np.triu(w, 1) * np.abs(np.triu(B, 1))).sum())
         shrink = lambda n, w: np.where(n > 0, np.maximum(1 - step * w / np.where(n > 0, n, 1), 0), 0)
-        for r, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
-            n = np.linalg.norm(th[:, i:j], axis=1)
-            w = lam[1] * self.wx * self.wd[r]
-            th[:, i:j] *= shrink(n, w)[:, None]
-            total += float((w * np.linalg.norm(th[:, i:j], axis=1)).sum())
-            for s, (k, m) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
-                if s > r:
-                    n, w = np.linalg.norm(ph[i:j, k:m]), lam[2] * self.wd[r] * self.wd[s]
-                    ph[i:j, k:m] *= float(shrink(n, w))
-                    ph[k:m, i:j] = ph[i:j, k:m].T
-                    total += w * float(np.linalg.norm(ph[i:j, k:m])) * 2
+        if self.levels:
+            mixed, both = self.norms(th, ph)
+            w = lam[1] * np.outer(self.wx, self.wd)
+            keep = shrink(mixed, w)
+            th *= np.repeat(keep, self.levels, axis=1)
+            total += float((w * mixed * keep).sum())
+            w = lam[2] * np.outer(self.wd, self.wd)
+            keep = shrink(both, w)
+            np.fill_diagonal(keep, 0)
+            ph *= np.repeat(np.repeat(keep, self.levels, axis=0), self.levels, axis=1)
+            total += float((np.triu(w, 1) * both * keep).sum())
         ph[self.own] = 0
         return self.join([a, np.maximum(b, 1e-6), B, th, ph, c]), total
 
@@ -144,7 +158,7 @@ class Mgm:
             while True:
                 new, pen = self.prox(y - g / big, 1 / big, lam)
                 f_new, d = self.smooth(new, slope=False)[0], new - y
-                if f_new <= f + float(g @ d) + big / 2 * float(d @ d) + 1e-12 or big > 1e8:
+                if f_new <= f + float((self.half * g) @ d) + big / 2 * float((self.half * d) @ d) + 1e-12 or big > 1e8:
                     break
                 big *= 2
             objective = f_new + pen
@@ -162,26 +176,22 @@ class Mgm:
                 break
         return Fitted(self.graph(x, lam), x, f_x, self.count(x))
 
-    def strengths(self, v: np.ndarray) -> dict[tuple[str, str], float]:
+    def strengths(self, v: np.ndarray) -> np.ndarray:
+        """Of each pair of variables, the continuous ones first, in the upper triangle."""
         _, _, B, th, ph, _ = self.split(v)
-        out = {}
-        for i, a in enumerate(self.xs):
-            for j in range(i):
-                out[self.xs[j], a] = abs(float(B[i, j]))
-            for r, d in enumerate(self.ds):
-                out[a, d] = float(np.linalg.norm(th[i, self.cuts[r] : self.cuts[r + 1]]))
-        for r, a in enumerate(self.ds):
-            for s in range(r):
-                out[self.ds[s], a] = float(np.linalg.norm(ph[self.cuts[r] : self.cuts[r + 1], self.cuts[s] : self.cuts[s + 1]]))
-        return out
+        mixed, both = self.norms(th, ph)
+        out = np.zeros((self.p + len(self.ds),) * 2)
+        out[: self.p, : self.p], out[: self.p, self.p :], out[self.p :, self.p :] = np.abs(B), mixed, both
+        return np.triu(out, 1)
 
-    def edge_set(self, v: np.ndarray) -> frozenset:
-        return frozenset(k for k, s in self.strengths(v).items() if s > 2e-16)
+    def edge_set(self, v: np.ndarray) -> bytes:
+        return np.packbits(self.strengths(v) > 2e-16).tobytes()
 
     def graph(self, v: np.ndarray, lam) -> Graph:
         g = Graph(self.data.names(), UNDIRECTED, algorithm="MGM", params={"lambda": list(lam)})
-        for a, b in self.edge_set(v):
-            g.add(a, b)
+        names = [*self.xs, *self.ds]
+        for i, j in np.argwhere(self.strengths(v) > 2e-16):
+            g.add(names[i], names[j])
         return g
 
     def count(self, v: np.ndarray) -> int:
@@ -190,13 +200,11 @@ class Mgm:
 
     def lambda_max(self) -> float:
         """The least penalty without edges: the largest weighted block of the gradient at independence."""
-        g, _ = self.smooth(self.first)[1], None
-        _, _, B, th, ph, _ = self.split(g)
-        top = [0.0, *(np.abs(B) / 1.0).ravel().tolist()]
-        for r, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
-            top += (np.linalg.norm(th[:, i:j], axis=1) / np.maximum(self.wx * self.wd[r], 1e-12)).tolist()
-            top += [float(np.linalg.norm(ph[i:j, k:m])) / max(self.wd[r] * self.wd[s], 1e-12) for s, (k, m) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)) if s > r]
-        return max(top)
+        _, _, B, th, ph, _ = self.split(self.smooth(self.first)[1])
+        mixed, both = self.norms(th, ph)
+        np.fill_diagonal(both, 0)
+        each = [np.abs(B), mixed / np.maximum(np.outer(self.wx, self.wd), 1e-12), both / np.maximum(np.outer(self.wd, self.wd), 1e-12)]
+        return max(float(x.max(initial=0.0)) for x in each)
 
 
 def triple(lam) -> tuple[float, float, float]:

@@ -127,3 +127,21 @@ def test_resampling(sim):
     assert stars(data, [0.001, 0.05], number=2)["alpha"] in (0.001, 0.05)
     assert len(steps(data, [0.3, 0.1], number=2)["lambda"]) == 3
     assert len(mgm_cv(data, [0.4, 0.1], folds=2)["rows"]) == 2
+
+
+def test_mixed_graphical_model_meets_its_optimality_conditions(sim):
+    """Zero groups have gradients under the penalty, others gradients of just its size."""
+    data, _ = sim
+    m, lam = Mgm(data), 0.08
+    got = m.learn((lam,) * 3)
+    _, _, gB, gth, gph, _ = m.split(m.smooth(got.params)[1])
+    _, _, B, th, ph, _ = m.split(got.params)
+    (gm, gb), (nm, nb) = m.norms(gth, gph), m.norms(th, ph)
+    up = np.triu_indices(m.p, 1)
+    blocks = [(np.abs(gB)[up], np.abs(B)[up]), ((gm / np.outer(m.wx, m.wd)).ravel(), nm.ravel())]
+    if len(m.ds) > 1:
+        du = np.triu_indices(len(m.ds), 1)
+        blocks.append(((gb / np.outer(m.wd, m.wd))[du], nb[du]))
+    assert sum(int((size > 0).sum()) for _, size in blocks) == len(got.graph.edges()) > 0
+    for slope, size in blocks:
+        assert (slope[size == 0] <= lam * 1.01).all() and np.allclose(slope[size > 0], lam, rtol=0.02)
