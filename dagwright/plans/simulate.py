@@ -44,17 +44,7 @@ def sim_random_dag(spark: SparkSession, n: int = 1000, p: int = 50, r: int = 0,
     def normal(*salt):
         return F.sqrt(-2 * F.log(uniform(*salt, "a"))) * F.cos(2 * 3.141592653589793 * uniform(*salt, "b"))
 
-    cells = 0
-
-    def cut(df):
-        """Each few columns are written, where there is a shared folder, so that the next ones do not work them out again."""
-        nonlocal cells
-        cells += 1
-        return df.checkpoint() if cells % 4 == 0 and spark.sparkContext.getCheckpointDir() else df
-
     coef = lambda: rng.choice((-1, 1)) * rng.uniform(coef_min, coef_max)
-    df = spark.range(n)
-
     def linear(parents):
         out = F.lit(0.0)
         for w in parents:
@@ -65,19 +55,28 @@ def sim_random_dag(spark: SparkSession, n: int = 1000, p: int = 50, r: int = 0,
                 out = out + F.col(w) * coef()
         return out
 
+    made, depth = {}, {}
     for v in g.order():
         parents = g.parents(v)
+        depth[v] = 1 + max((depth[w] for w in parents), default=0)
         if v in xs:
-            raw = linear(parents) + normal(v) * rng.uniform(noise_min, noise_max)
-            df = df.withColumn(v, raw)
-            mean, sd = df.agg(F.avg(v), F.stddev_samp(v)).first()
-            df = cut(df.withColumn(v, (F.col(v) - mean) / (sd or 1.0)))
+            made[v] = linear(parents) + normal(v) * rng.uniform(noise_min, noise_max)
         elif v in ys:
             w = [F.exp(linear(parents)) for _ in range(3)]
             total, u = w[0] + w[1] + w[2], uniform(v)
-            df = cut(df.withColumn(v, F.when(u * total < w[0], "A").when(u * total < w[0] + w[1], "B").otherwise("C")))
+            made[v] = F.when(u * total < w[0], "A").when(u * total < w[0] + w[1], "B").otherwise("C")
         else:
             time = F.pow(-F.log(uniform(v)) * F.exp(-linear(parents)), 0.5)
             event = (uniform(v, "c") >= censor_rate).cast("int")
-            df = df.withColumn(v, F.struct((time * F.when(event == 1, 1.0).otherwise(uniform(v, "t"))).alias("time"), event.alias("event")))
+            made[v] = F.struct((time * F.when(event == 1, 1.0).otherwise(uniform(v, "t"))).alias("time"), event.alias("event"))
+    df, kept = spark.range(n), spark.sparkContext.getCheckpointDir()
+    for k in range(1, max(depth.values(), default=0) + 1):
+        # variables of one depth at a time: one pass for their means and deviations, and one cut of lineage
+        own = [v for v in made if depth[v] == k]
+        df = df.select("*", *[made[v].alias(v) for v in own])
+        df = df.checkpoint() if kept else df
+        scaled = [v for v in own if v in xs]
+        if scaled:
+            found = df.agg(*[f(v).alias(f"{i}_{v}") for v in scaled for i, f in enumerate((F.avg, F.stddev_samp))]).first()
+            df = df.withColumns({v: (F.col(v) - found[f"0_{v}"]) / (found[f"1_{v}"] or 1.0) for v in scaled})
     return df.select(*g.nodes), g
