@@ -1,7 +1,9 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-The field paths of a record's type (`messages[].role`, `prompt`, ...) are hashed; the hash selects
-one of LAYOUTS, a declarative mapping from that layout to canonical turns, an array of (role, text).
+The field paths that a record has (`messages[].role`, `prompt`, ...) are hashed; the hash selects one
+of LAYOUTS, a declarative mapping from that layout to canonical turns, an array of (role, text). Where a
+column's type is one layout, that holds for all its records; where it has the fields of several, each
+record's own fingerprint, of those that are not null, selects.
 """
 
 from __future__ import annotations
@@ -51,21 +53,40 @@ def fingerprint(fields) -> str:
 MAPPINGS = {fingerprint(x[0]): name for name, x in LAYOUTS.items()}
 
 
-def canonical_turns(record: Column, kind: T.StructType) -> Column:
-    """The turns of a record, by the mapping that its type's fingerprint selects."""
-    name = MAPPINGS.get(fingerprint(paths(kind)))
-    if name is None:
-        raise ValueError(f"no layout has the fields {sorted(paths(kind))}")
+def turns_by(name: str, record: Column, roles: dict[str, str]) -> Column:
+    """The turns of a record of a named layout."""
     _, array, role, text = LAYOUTS[name]
     if array:
-        return F.transform(F.coalesce(record[array], F.array()), lambda x: turn(x[role], x[text]))
-    made = [turn(F.lit(r), F.concat_ws("\n", *[F.when(record[f] != "", record[f]) for f in fs]) if len(fs) > 1 else record[fs[0]]) for r, fs in zip(role, text, strict=True)]
+        return F.transform(F.coalesce(record[array], F.array()), lambda x: turn(x[role], x[text], roles))
+    made = [turn(F.lit(r), F.concat_ws("\n", *[F.when(record[f] != "", record[f]) for f in fs]) if len(fs) > 1 else record[fs[0]], roles) for r, fs in zip(role, text, strict=True)]
     return F.array(*made)
 
 
-def turn(role: Column, text: Column) -> Column:
+def own_fingerprint(record: Column, fields: list[str]) -> Column:
+    """The fingerprint of the paths that are not null in a record; an array's elements have all their fields."""
+    there = [F.when(record[f.split("[]")[0].split(".")[0]].isNotNull(), F.lit(f)) for f in sorted(fields)]
+    return F.substring(F.sha2(F.concat_ws("\n", *there), 256), 1, 16)
+
+
+def canonical_turns(record: Column, kind: T.StructType, roles: dict[str, str]) -> Column:
+    """The turns of a record, by the mapping that its fingerprint selects."""
+    fields = paths(kind)
+    name = MAPPINGS.get(fingerprint(fields))
+    if name is not None:
+        return turns_by(name, record, roles)
+    fitting = [x for x, layout in LAYOUTS.items() if set(layout[0]) <= set(fields)]
+    if not fitting:
+        raise ValueError(f"no layout has the fields {sorted(fields)}")
+    own = own_fingerprint(record, fields)
+    out = F.when(own == fingerprint([]), F.array().cast("array<struct<role: string, text: string>>"))
+    for x in fitting:
+        out = out.when(own == fingerprint(LAYOUTS[x][0]), turns_by(x, record, roles).cast("array<struct<role: string, text: string>>"))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no layout has the fields of the record "), F.to_json(record))).cast("array<struct<role: string, text: string>>"))
+
+
+def turn(role: Column, text: Column, roles: dict[str, str]) -> Column:
     role = role.cast("string")
-    for a, b in ROLES.items():
+    for a, b in roles.items():
         role = F.when(role == a, F.lit(b)).otherwise(role)
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
@@ -83,17 +104,18 @@ def formatted(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(BEGIN), F.url_encode(t["role"]), F.lit("\n"), escaped(t["text"]), F.lit(END + "\n"))), "")
 
 
-def chat_format(records: DataFrame, record: str, loss_role: str = "assistant") -> DataFrame:
+def chat_format(records: DataFrame, record: str, loss_role: str = "assistant", roles: dict[str, str] | None = None) -> DataFrame:
     """Formats records of any layout of LAYOUTS; adds `formatted` and `loss_mask` to the columns of records.
 
-    records[record] is a struct; its type's fingerprint selects the mapping, and a type that none
-    fits is an error. `loss_mask` has, for each turn of loss_role, the code points [start, end) of its
+    records[record] is a struct; the fingerprint of its type, or in a type with the fields of several
+    layouts that of the fields that are not null, selects the mapping; a type or record that none fits is
+    an error. Role names are replaced as `roles` says, or by ROLES without it. `loss_mask` has, for each turn of loss_role, the code points [start, end) of its
     escaped text in `formatted`. A null record or array has no turns and an empty string; null roles
     and texts count as empty; empty turns keep their place. Existing columns `formatted` and
     `loss_mask` are replaced.
     """
     kind = records.schema[record].dataType
-    turns = canonical_turns(F.col(f"`{record}`"), kind)
+    turns = canonical_turns(F.col(f"`{record}`"), kind, ROLES if roles is None else roles)
     out = records.withColumn("formatted", F.when(F.col(f"`{record}`").isNull(), F.lit("")).otherwise(formatted(turns)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"))
     # a split at the end mark gives each turn's head and text; offsets add up from their lengths

@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 
 #: Word boundaries in ASCII.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Characters of an account number by country (fixed values of the published registry).
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+
+
+def iban_pattern() -> str:
+    """Countries of one length together, each with two check digits and as many letters or digits as it has."""
+    by_length: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS.split():
+        by_length.setdefault(int(x[2:]), []).append(x[:2])
+    return "(?:" + "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items())) + ")"
+
+
 #: Kinds, in the order in which spans that start together are listed.
 #: An email begins where a run of its first class begins or the last match ended; a card chain of fewer than
 #: 12 digits would be dropped anyway.
@@ -20,7 +35,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": BEFORE + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}" + AFTER,
+    "iban": BEFORE + iban_pattern() + AFTER,
     "ssn": BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + AFTER,
 }
 BASE = ("email", "ip", "card", "phone")
@@ -98,7 +113,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `spans`, an array of (start, rank, kind, end, score) by start and kind, to the columns of docs.
 
     Offsets are code points, end exclusive. Matches of a kind are leftmost and do not overlap; one that
-    fails its checksum goes and is not tried again at another length. Spans of different kinds may
+    fails its checksum goes and is not tried again at another length; an account number has the length of its country. Spans of different kinds may
     overlap. A null or empty text has no spans; an existing column `spans` is replaced.
     """
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dagwright.llm.pii import iban_pattern
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +61,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    out = chat_format(conversations_of(rows), "record").withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
+    out = chat_format(conversations_of(rows), "record", roles={}).withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
@@ -95,7 +97,7 @@ PII_SQL = (
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(nullif(ltrim(p, '0'), '') as int), 0) > 255)) = 0"),
     ("card", r"[0-9]([\x20-]?[0-9])+", "length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda i: case when i % 2 = 0 then cast(d[length(d) - i] as int) else (cast(d[length(d) - i] as int) * 2) % 10 + (cast(d[length(d) - i] as int) * 2) // 10 end)) % 10 = 0"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: case when ascii(c) >= 65 then ascii(c) - 55 else ascii(c) - 48 end)), lambda r, c: case when c > 9 then (r * 100 + c) % 97 else (r * 10 + c) % 97 end) = 1"),
+    ("iban", r"\b" + iban_pattern() + r"\b", "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: case when ascii(c) >= 65 then ascii(c) - 55 else ascii(c) - 48 end)), lambda r, c: case when c > 9 then (r * 100 + c) % 97 else (r * 10 + c) % 97 end) = 1"),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"regexp_matches(substr(t, greatest(start - 40, 0) + 1, least(start, 40)), '(?i)\b(?:ssn|social|security)\b')"),
 )
 
@@ -113,7 +115,30 @@ select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coale
 from d left join j using (rid)"""
 
 
+#: DuckDB: jump hashes of every id by the published loop, in 128-bit whole numbers; checksums byte by byte, by a table worked out here.
+SHARD_SQL = """
+with recursive tab as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, e: xor(a >> 1, 3988292384 * (a & 1))) order by i) as t from range(256) r(i)
+), d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as h from documents
+), c as (
+  select doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint)),
+    lambda a, e: xor(a >> 8, t[(xor(a, e) & 255) + 1])), 4294967295) as text_crc32 from d, tab
+), k as (
+  select distinct coalesce(doc_id, 0) as id, n, (case when coalesce(doc_id, 0) < 0 then coalesce(doc_id, 0)::hugeint + 18446744073709551616 else coalesce(doc_id, 0) end)::hugeint as key, -1::bigint as b, 0::bigint as j from documents, (values (16), (17)) v(n)
+), s as (
+  select * from k
+  union all
+  select id, n, key2, j, floor((j + 1) * (2147483648.0::double / ((key2 // 8589934592) + 1)::double))::bigint from (select *, (key * 2862933555777941757 + 1) % 18446744073709551616 as key2 from s where j < n)
+), f as (
+  select id, max(b) filter (n = 16) as shard, max(b) filter (n = 17) as grown_shard from s group by id
+)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard::int as grown_shard
+from c join f on f.id = coalesce(doc_id, 0)
+"""
+
 SQL = {
+    "op10_jump_sharding": SHARD_SQL,
     "op8_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -201,7 +201,7 @@ def test_pipeline_keeps_clean_documents(spark):
     assert cp.STAGES[-1][1](spark, docs, SF).selectExpr("count(distinct doc_id)").first()[0] == len(after)
 
 
-@pytest.mark.parametrize("name", ["op5_chat_format", "op6_pii", "op8_exact_topk", "op9_substring_dedup"])
+@pytest.mark.parametrize("name", ["op5_chat_format", "op6_pii", "op8_exact_topk", "op9_substring_dedup", "op10_jump_sharding"])
 def test_sql(spark, name):
     import duckdb
 
