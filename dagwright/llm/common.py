@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import types
@@ -14,33 +16,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Sessions whose tables are removed when the program ends.
+SESSIONS: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session has one of its own and a cluster an error."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        found = spark.sparkContext.getCheckpointDir()
-        at = found or f"{tempfile.gettempdir()}/dagwright-shared"
-        if not found:
-            spark.sparkContext.setCheckpointDir(at)
-        return at.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        at = f"{tempfile.gettempdir()}/dagwright-shared"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read back."""
+    """Cuts lineage: df as a Parquet table in the shared folder, read back. Tables go with the session, or with drop()."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    at = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    if spark.sparkContext.applicationId not in SESSIONS:
+        SESSIONS.add(spark.sparkContext.applicationId)
+        atexit.register(at_end, spark)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Removes every table that written() has left; DataFrames that read them are of no use afterwards."""
+def removed(spark: SparkSession, at: str) -> None:
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that written() has returned and that nothing reads any more."""
+    for t in tables:
+        removed(t.sparkSession, t.written_at)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes every table that written() has left in this session; DataFrames that read them are of no use afterwards."""
+    removed(spark, tables_dir(spark))
+
+
+def at_end(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        drop_tables(spark)
 
 
 def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:

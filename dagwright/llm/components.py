@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagwright.llm.common import written
+from dagwright.llm.common import drop, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     group is gathered anywhere. The edge set ends as one star for each component.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, old = None, None
     while True:
+        if old is not None:
+            drop(old)
         n, total = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if n == 0 or (n, total) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct()).groupBy("node").agg(F.min("comp").alias("comp"))
@@ -26,4 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
-        e = written(small, "edges")
+        e, old = written(small, "edges"), e
