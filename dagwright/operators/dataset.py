@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dagwright.functions.distributions import normal_quantile
-from dagwright.functions.regression import harmonic, null_residuals
+from dagwright.functions.regression import Fit, cox, harmonic, null_residuals
+from dagwright.operators.survival import cox_of_rows
 
 #: Cells (rows x columns) up to which a data set is held as one local matrix; beyond, every pass is a Spark job.
 LOCAL_CELLS = 20_000_000
@@ -320,10 +321,20 @@ class Data:
     def survival(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Times, events and strata (all 0 if there are none) of a censored variable, from the local matrix."""
         if self.local is None:
-            raise ValueError("Cox fits need a data set of at most LOCAL_CELLS cells")
+            raise ValueError("this needs a data set of at most LOCAL_CELLS cells")
         t, e, *s = self.columns[name]
         return self.local[:, t], self.local[:, e], self.local[:, s[0]] if s else np.zeros(self.n)
 
+    def cox(self, name: str, cols: list[int]) -> Fit:
+        """Proportional hazards of a censored variable by design columns, from the local matrix or by passes over the rows."""
+        if self.local is not None:
+            t, e, s = self.survival(name)
+            return cox(t, e, self.local[:, cols], strata=s)
+        t, e, *s = self.columns[name]
+        g = self.gram()
+        mean = g[0, 1:] / self.n
+        return cox_of_rows(self.design, t, e, s[0] if s else None, list(cols), mean, np.sqrt(np.maximum(np.diag(g)[1:] / self.n - mean**2, 0)))
+
     def kind(self, name: str) -> str:
         return self.variables[self.index[name]].kind
 

@@ -2,7 +2,8 @@
 
 Linear tests come from one matrix of moments, whatever their number. Discrete pairs take batches of
 logistic fits, one pass over the rows for each Newton step of a whole batch. Censored variables take
-Cox fits on the local matrix; given ones stand for themselves by their working residuals. A test whose fits fail both ways counts as dependent, with p = 0.
+Cox fits; given ones stand for themselves by their working residuals. A test whose fits fail both ways counts as
+dependent, with p = 0.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections import defaultdict
 import numpy as np
 
 from dagwright.functions.distributions import chi2_upper, f_upper_all, t_two_sided_all
-from dagwright.functions.regression import cox, likelihood_ratio, logistic_batch, multinomial_loglik
+from dagwright.functions.regression import likelihood_ratio, logistic_batch, multinomial_loglik
 from dagwright.operators.dataset import Data
 
 #: Logistic fits that share a pass, and linear tests that are solved at once.
@@ -131,13 +132,12 @@ class DataTest:
             x, y = y, x
         if any(kind(v) == "censored" for v in z):
             return 0.0
-        t, e, s = self.data.survival(x)
-        m, b, c = self.data.local, self.data.columns[y], self.columns(z)
+        b, c = self.data.columns[y], self.columns(z)
         try:
-            full = cox(t, e, m[:, [*b, *c]], strata=s)
+            full = self.data.cox(x, [*b, *c])
             if len(b) == 1:
                 return float(full.p[0])
-            return chi2_upper(max(2 * (full.loglik - cox(t, e, m[:, c], strata=s).loglik), 1e-15), len(b))
+            return chi2_upper(max(2 * (full.loglik - self.data.cox(x, c).loglik), 1e-15), len(b))
         except (ValueError, np.linalg.LinAlgError):
             return 0.0
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagwright.functions.regression import cox, cox_loglik, logistic_batch, multinomial_loglik, ols
+from dagwright.functions.regression import cox_loglik, logistic_batch, multinomial_loglik, ols
 from dagwright.operators.dataset import Data, draw_keys
 from dagwright.operators.graph_frames import ensemble
 from dagwright.operators.independence import DataTest
@@ -216,7 +216,7 @@ def held_out_loglik(train: Data, test: Data, target: str, given: list[str]) -> f
             if None in fits:
                 return -math.inf
             return float(multinomial_loglik(test, [(own, [xs] * len(own), [f[0] for f in fits])])[0])
-        b = cox(*train.survival(target)[:2], train.local[:, xs], strata=train.survival(target)[2]).coef
+        b = train.cox(target, xs).coef
         t, e, s = test.survival(target)
         return cox_loglik(t, e, test.local[:, xs] @ b, s)
     except (np.linalg.LinAlgError, ArithmeticError):

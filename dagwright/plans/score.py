@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 
-from dagwright.functions.regression import cox, logistic_batch, multinomial_loglik
+from dagwright.functions.regression import logistic_batch, multinomial_loglik
 from dagwright.operators.dataset import Data
 from dagwright.plans.graph import DAG, Graph, cpdag, extension
 from dagwright.plans.knowledge import Knowledge
@@ -55,8 +55,6 @@ class RegressionBic:
     def local(self, y: str, parents: frozenset[str]) -> float:
         key = (y, parents)
         if key not in self.known:
-            if parents and self.data.kind(y) == "censored":
-                self.data.survival(y)  # without a local matrix an error, no failed fit
             try:
                 self.known[key] = self.fitted(y, [c for v in sorted(parents) for c in self.data.regressors[v]])
             except (ValueError, np.linalg.LinAlgError):
@@ -73,9 +71,8 @@ class RegressionBic:
             rest = s[own[0], own[0]] - s[own[0], cols] @ np.linalg.solve(s[np.ix_(cols, cols)], s[cols, own[0]])
             return d.n * math.log(max(rest, 1e-300) / s[own[0], own[0]]) + self.penalty * math.log(d.n) * len(cols)
         if d.kind(y) == "censored":
-            m, (t, e, s) = d.local, d.survival(y)
-            gain = cox(t, e, m[:, cols], strata=s).loglik - cox(t, e, m[:, []], strata=s).loglik
-            return -2 * gain + self.penalty * math.log(e.sum()) * len(cols)
+            gain = d.cox(y, cols).loglik - d.cox(y, []).loglik
+            return -2 * gain + self.penalty * math.log(d.gram()[0, own[1] + 1]) * len(cols)
         fits = logistic_batch(d, [(c, cols) for c in own] + [(c, []) for c in own])
         if None in fits:
             return math.inf

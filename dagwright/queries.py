@@ -12,7 +12,8 @@ from dagwright.operators.dataset import Data, finite, rank_scores
 from dagwright.operators.independence import DataTest
 from dagwright.plans.constraint import adjacency_search, fci_stable, pag, pc_stable, step_up
 from dagwright.plans.coxmgm import coxmgm, coxmgm_path
-from dagwright.plans.graph import CPDAG, DAG, PAG, Graph, cpdag, graph_of
+from dagwright.plans.graph import CPDAG, DAG, PAG, Graph, cpdag, from_matrix, graph_of
+from dagwright.plans.knowledge import Knowledge
 from dagwright.plans.mgm import mgm, mgm_path
 from dagwright.plans.resample import bootstrap, draws, held_out_loglik, mgm_cv, search_cv, split, stars, steps, subsample_size
 from dagwright.plans.score import DegenerateGaussian, RegressionBic, boss, grasp, grow_shrink_mb
@@ -578,3 +579,55 @@ def graph_pag_orientation(spark, sf_dir):
     nodes = [v for v in NODES if v != "b"]
     est, truth = (graph_of(nodes, x, PAG).frame(spark) for x in (PAG_GUESS, PAG_TRUTH))
     return gf.orientation_metrics(est, truth, PAG, edges_of(spark, TRUTH, DAG))
+
+
+@query("with t as (select n_name, n_regionkey as tier from nation) select x.n_name as a, y.n_name as b, x.tier > y.tier or x.tier = y.tier and x.tier % 2 = 1 as forbidden from t x join t y on x.n_name <> y.n_name")
+def knowledge_pairs(spark, sf_dir):
+    """Nations in tiers by region, without edges within every other one: which edges are forbidden."""
+    tiers: dict[int, list[str]] = {}
+    for r in read(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect():  # 25 rows at any size
+        tiers.setdefault(r.n_regionkey, []).append(r.n_name)
+    k = Knowledge(tiers=[tiers[i] for i in sorted(tiers)], forbidden_within=[i % 2 == 1 for i in sorted(tiers)])
+    names = sorted(k.tier)
+    return spark.createDataFrame([(a, b, k.is_forbidden(a, b)) for a in names for b in names if a != b], "a string, b string, forbidden boolean")
+
+
+@query(f"select node1, ep1, ep2, node2 from {edge_sql(GUESS)}")
+def graph_file_edges(spark, sf_dir):
+    """A graph written to a text file and read back, on the driver."""
+    import os
+    import tempfile
+
+    from dagwright.sources.graph_files import load_graph, save_graph
+
+    with tempfile.TemporaryDirectory() as at:
+        path = os.path.join(at, "graph.txt")
+        save_graph(graph_of(list(NODES), GUESS, CPDAG), path)
+        return graph_rows(spark, load_graph(path))
+
+
+@query("select * from (values ('a', 1), ('b', 2), ('c', 3), ('d', 4), ('f', 5), ('e', 6)) o(node, place)")
+def graph_order(spark, sf_dir):
+    """A causal order: of nodes whose parents are all there, the first by name."""
+    return spark.createDataFrame([(v, i) for i, v in enumerate(graph_of(list(NODES), TRUTH, DAG).order(), 1)], "node string, place int")
+
+
+@query(f"select node1, ep1, ep2, node2 from {edge_sql(TRUTH)} where node1 in ('b', 'c', 'e', 'f') and node2 in ('b', 'c', 'e', 'f')")
+def graph_subgraph(spark, sf_dir):
+    return graph_rows(spark, graph_of(list(NODES), TRUTH, DAG).subgraph("bcef"))
+
+
+@query(f"with e as (select node1 as a, node2 as b from {edge_sql(TRUTH)}), n as (select unnest(['a', 'b', 'c', 'd', 'f', 'e']) as v, unnest(range(6)) as i) select x.v as a, y.v as b, not exists (select 1 from e where least(a, b) = least(x.v, y.v) and greatest(a, b) = greatest(x.v, y.v)) as separated from n x join n y on x.i < y.i")
+def graph_separated(spark, sf_dir):
+    """Each pair given the later one's other parents, which separate it unless it is adjacent."""
+    g = graph_of(list(NODES), TRUTH, DAG)
+    order = g.order()
+    return spark.createDataFrame([(a, b, g.d_separated(a, b, set(g.parents(b)) - {a})) for j, b in enumerate(order) for a in order[:j]], "a string, b string, separated boolean")
+
+
+MATRIX = ((0, 1, 0), (1, 0, 1), (0, 1, 0))
+
+
+@query("with m(i, j) as (values (1, 2), (2, 3)) select substr('abc', i, 1) as node1, '-' as ep1, '-' as ep2, substr('abc', j, 1) as node2 from m")
+def graph_from_matrix(spark, sf_dir):
+    return graph_rows(spark, from_matrix(MATRIX, list("abc")))
