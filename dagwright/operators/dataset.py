@@ -104,17 +104,14 @@ def stratum_code(c: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c["strata"].cast("string")), 12).cast("double")
 
 
-def warn_of_levels(df: DataFrame, kinds: dict[str, str], levels: dict[str, tuple[str, ...]]) -> None:
+def warn_of_levels(levels: dict[str, tuple[str, ...]], values: dict[str, int]) -> None:
     """Warns of categories with ten levels or more, and of numbers that have fewer than ten values."""
     for c, x in levels.items():
         if len(x) >= 10:
             warnings.warn(f"{c} has {len(x)} levels; is it a category?", stacklevel=3)
-    numbers = [c for c, k in kinds.items() if k == "continuous"]
-    if numbers:
-        found = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(numbers)]).first()
-        for i, c in enumerate(numbers):
-            if found[f"_{i}"] < 10:
-                warnings.warn(f"{c} has fewer than ten values; is it a number?", stacklevel=3)
+    for c, n in values.items():
+        if n < 10:
+            warnings.warn(f"{c} has fewer than ten values; is it a number?", stacklevel=3)
 
 
 def check_strata(df: DataFrame, columns: list[str]) -> None:
@@ -211,7 +208,8 @@ class Data:
         if rank:
             df = npn(df, [c for c, k in kinds.items() if k == "continuous"])
         discrete = [c for c, k in kinds.items() if k == "discrete" and like is None]
-        found = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(discrete)]).first()
+        numbers = [c for c, k in kinds.items() if k == "continuous" and like is None]
+        found = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(discrete + numbers)]).first()
         for i, c in enumerate(discrete):
             if found[f"_{i}"] > MOST_LEVELS:
                 raise ValueError(f"{c} has about {found[f'_{i}']} levels; it is no category")
@@ -222,7 +220,7 @@ class Data:
         if like is not None:  # a part has the levels of the whole
             levels = {v.name: v.levels for v in like.variables}
         else:
-            warn_of_levels(df, kinds, levels)
+            warn_of_levels(levels, {c: found[f"_{i}"] for i, c in enumerate(numbers, len(discrete))})
         strata = [c for c, k in kinds.items() if k == "censored" and "strata" in df.schema[c].dataType.names]
         check_strata(df, strata)
         self.df, self.n, self.spark, self.local_cells, self.strata = df, int(found["n"]), df.sparkSession, local_cells, strata
