@@ -20,12 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagwright.llm.common import kept_by_worker, pieces, text_size, written
+from dagwright.llm.common import drop, kept_by_worker, pieces, text_size, written
 from dagwright.llm.components import components
 from dagwright.llm.windows import bucket_edges, rolling, split_words, starts, texts_of
 
 #: Bytes of text in a chunk, shingles in a range, and texts in a block of an exact comparison, about.
 CHUNK_BYTES, RANGE_HASHES, BLOCK = 2 << 20, 1 << 20, 256
+#: Shingles that are sampled at once, and bytes of weighted sets that one task compares, about.
+SAMPLED, SET_BYTES = 8192, 4 << 20
+#: Keys that are broadcast at most: those of more than one row in so many.
+MOST_HOT = 10_000
 #: Shingle hashes are cut to 48 bits, six bytes each; a sampling table has 2**16 draws.
 WIDTH, DRAWS, SEED = 6, 16, 20260101
 #: Document frequencies are sent as 8 * log2, rounded, in one byte.
@@ -76,16 +80,21 @@ def draws(samples: int) -> tuple[np.ndarray, ...]:
 
 
 def sampled(s: np.ndarray, w: np.ndarray, samples: int) -> np.ndarray:
-    """One hash of (shingle, quantised weight) for each sample of one weighted set."""
+    """One hash of (shingle, quantised weight) for each sample of one weighted set, block by block of its shingles."""
     factor, inv, r, log_c, beta = draws(samples)
-    slot = ((s[:, None] * factor[None, :]) >> np.uint64(64 - DRAWS)).astype(np.int64)
     col = np.arange(samples)[None, :]
-    rr, b = r[col, slot], beta[col, slot]
-    t = np.floor(np.log(w, dtype=np.float32)[:, None] * inv[col, slot] + b)
-    log_a = log_c[col, slot] - rr * (t - b) - rr
-    best = log_a.argmin(axis=0)
-    t = t[best, np.arange(samples)].astype(np.int64).astype(np.uint64)
-    return (s[best] * np.uint64(0x9E3779B97F4A7C15)) ^ (t * np.uint64(0xC2B2AE3D27D4EB4F))
+    least, of, step = np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.zeros(samples, np.float32)
+    for at in range(0, len(s), SAMPLED):
+        own = s[at : at + SAMPLED]
+        slot = ((own[:, None] * factor[None, :]) >> np.uint64(64 - DRAWS)).astype(np.int64)
+        rr, b = r[col, slot], beta[col, slot]
+        t = np.floor(np.log(w[at : at + SAMPLED], dtype=np.float32)[:, None] * inv[col, slot] + b)
+        log_a = log_c[col, slot] - rr * (t - b) - rr
+        best = log_a.argmin(axis=0)
+        found = log_a[best, col[0]]
+        new = found < least
+        least, of, step = np.where(new, found, least), np.where(new, own[best], of), np.where(new, t[best, col[0]], step)
+    return (of * np.uint64(0x9E3779B97F4A7C15)) ^ (step.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def weights(code: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
@@ -107,7 +116,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, similarity: floa
     chunks = pieces(size + 64 * n, chunk_bytes)
     buckets = 1 << max(0, (size // 7 // RANGE_HASHES).bit_length())
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    base = base.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
+    # the place of a row parts rows that are alike in all else
+    base = base.select(F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk"), "doc_id", "text")
     edges = bucket_edges(buckets) >> np.uint64(64 - 8 * WIDTH)
 
     def sent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -166,42 +176,77 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     """
     t = written(signatures(docs, doc_id, text, k, similarity, bands, rows, chunk_bytes), "signatures")
     texts = t.where("band is not null")
-    bucket = written(texts.select("tid", F.explode("band").alias("key")).distinct(), "bands")
-    full = bucket.groupBy("key").agg(F.min("tid").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = written(bucket.join(full, "key").where("tid <> lead").select("lead", "tid").distinct(), "pairs")
+    bands_ = written(texts.select("tid", F.explode("band").alias("key")).distinct(), "bands")
+    full = bands_.groupBy("key").agg(F.min("tid").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    bucket = written(with_values(bands_, full, "key", "m", bands_.count()).where("tid <> lead"), "buckets")
+    pairs = written(bucket.select("lead", "tid").distinct(), "pairs")
     asked = pairs.select("tid").union(pairs.select("lead")).distinct()
-    sets = written(texts.select("tid", "shingles", "w").join(asked, "tid", "left_semi").dropDuplicates(["tid"]), "sets")
-
-    def alike(batches):
-        for b in batches:
-            hit = []
-            for s1, w1, s2, w2 in zip(*(b[c].to_pylist() for c in ("s1", "w1", "s2", "w2")), strict=True):
-                hit.append(similarity_of(unpacked(s1), np.frombuffer(w1, np.float32), unpacked(s2), np.frombuffer(w2, np.float32)) >= similarity)
-            yield pa.RecordBatch.from_arrays([b["lead"], b["tid"]], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    two = pairs.join(sets.select("tid", F.col("shingles").alias("s2"), F.col("w").alias("w2")), "tid").join(sets.select(F.col("tid").alias("lead"), F.col("shingles").alias("s1"), F.col("w").alias("w1")), "lead")
-    links = written(two.mapInArrow(alike, "a long, b long"), "links")
+    sets = written(texts.select("tid", "shingles", "w", (F.octet_length("shingles") + F.octet_length("w")).cast("long").alias("bytes")).join(asked, "tid", "left_semi").dropDuplicates(["tid"]), "sets")
+    links = verified(pairs, sets, similarity)
     comp = components(links)
-    more = rest(bucket, full, comp, sets, similarity)
+    more = rest(bucket, comp, sets, similarity)
     if not more.isEmpty():
-        comp = components(links.union(more))
-    comp = written(comp, "components")
-    rows_ = t.select("doc_id", "tid").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("doc_id", "tid", F.coalesce("comp", "tid").alias("comp"))
-    least = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return rows_.join(least, "comp").select("doc_id", "class_id", "tid", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    by_text = written(t.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", "n", F.coalesce("comp", "tid").alias("comp")), "texts")
+    classes = by_text.groupBy("comp").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("texts"))
+    named = written(with_values(by_text.select("tid", "n", "comp"), classes, "comp", "texts", by_text.count()).select("tid", "n", "class_id"), "classes")
+    drop(bands_, bucket, pairs, sets, links, more, by_text)
+    ids = written(t.select("doc_id", "tid"), "ids")
+    drop(t)
+    out = with_values(ids, named, "tid", "n", ids.count())
+    return out.select("doc_id", "class_id", "tid", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+
+
+def with_values(rows: DataFrame, values: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """rows joined with values, which has a row for each key and how many of the `total` rows bear it.
+
+    Keys of more than one row in MOST_HOT are MOST_HOT at most, so they are broadcast; no task gets more
+    rows of any other key than that.
+    """
+    often = max(BLOCK, total // MOST_HOT)
+    hot = values.where(F.col(times) > often).select(F.col(key).alias("_key"), F.struct(*[c for c in values.columns if c != key]).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    own = [c for c in values.columns if c != key]
+    there = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in own if c not in rows.columns])
+    others = values.where(F.col(times) <= often).select(key, *[c for c in own if c not in rows.columns])
+    return there.union(marked.where("_hot is null").select(*rows.columns).join(others, key).select(there.columns))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b): the pairs (lead, tid) whose similarity is enough.
+
+    Pairs are dealt into chunks by bytes, whatever their lead; a chunk gets each of its leads' sets once.
+    """
+    size = lambda name: sets.select(F.col("tid").alias(name), F.col("bytes").alias(f"{name}_bytes"))
+    total = pairs.join(size("tid"), "tid").join(size("lead"), "lead").agg(F.coalesce(F.sum(F.col("tid_bytes") + F.col("lead_bytes")), F.lit(0))).first()[0]
+    chunks = pieces(total, SET_BYTES)
+    dealt = pairs.select("lead", "tid", F.pmod(F.xxhash64("lead", "tid"), F.lit(chunks)).alias("chunk"))
+    members = dealt.join(sets.select("tid", "shingles", "w"), "tid").select("chunk", "lead", "tid", "shingles", "w")
+    asked = dealt.select(F.col("chunk").alias("to"), F.col("lead").alias("of")).distinct()
+    leads = asked.join(sets.select(F.col("tid").alias("of"), F.col("shingles").alias("s"), F.col("w").alias("v")), "of").select("to", "of", "s", "v")
+
+    def alike(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = {a: (unpacked(s), np.frombuffer(w, np.float32)) for a, s, w in zip(*(right[c].to_pylist() for c in ("of", "s", "v")), strict=True)}
+        hit = [similarity_of(*of[a], unpacked(s), np.frombuffer(w, np.float32)) >= similarity for a, s, w in zip(*(left[c].to_pylist() for c in ("lead", "shingles", "w")), strict=True)]
+        return pa.table({"a": left["lead"], "b": left["tid"]}).filter(pa.array(hit, pa.bool_()))
+
+    return written(members.groupBy("chunk").cogroup(leads.groupBy("to")).applyInArrow(alike, "a long, b long"), "links")
 
 
-def rest(bucket: DataFrame, full: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def rest(bucket: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between texts of one bucket that the comparison with its least text has left in several components.
 
-    A bucket of m such texts is dealt into blocks; each pair of blocks is compared in one task.
+    That text itself needs no more. A bucket's other texts are dealt into blocks by number and bytes; each
+    pair of blocks is compared in one task.
     """
-    named = bucket.join(full.select("key", "m"), "key").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", "m", F.coalesce("comp", "tid").alias("comp"))
-    parted = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    left = named.join(parted, "key").withColumn("g", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("tid"), "g"))
+    named = bucket.where("m > 2").select("key", "tid").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", F.coalesce("comp", "tid").alias("comp"))
+    named = written(named.join(sets.select("tid", "bytes"), "tid"), "named")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / SET_BYTES)).cast("long")
+    parted = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), blocks.alias("g"), F.count(F.lit(1)).alias("m")).where("c1 <> c2").select("key", "g", "m")
+    left = with_values(named, parted, "key", "m", named.count()).withColumn("block", F.pmod(F.xxhash64("tid"), "g"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     left = left.select("tid", "comp", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
-    left = left.join(sets, "tid")
+    left = left.join(sets.select("tid", "shingles", "w"), "tid")
 
     def compared(table: pa.Table) -> pa.Table:
         tids, comps, block = (table[c].to_numpy() for c in ("tid", "comp", "block"))

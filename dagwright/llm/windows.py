@@ -16,7 +16,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 class WordHashes(dict):
     """Word to 64-bit hash; cleared when it holds LIMIT words, which only costs hashing them again."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
