@@ -102,13 +102,13 @@ def npn_scores(spark, sf_dir):
     return rank_scores(t, "o_totalprice", t.count()).select(F.col("_v").alias("v"), F.round("_p", 9).alias("p"))
 
 
-@query(" union all ".join(f"select '{c}' as name, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as sd from ({NUMBERS_SQL})" for c in NUMBERS))
+@query(" union all ".join(f"select '{c}' as name, round(avg({c}), 3) as mean, round(stddev_samp({c}), 3) as sd from ({NUMBERS_SQL})" for c in NUMBERS))
 def standardized(spark, sf_dir):
     """What a mixed graphical model takes from its columns before it is fitted, of data that pass the variance check."""
     from dagwright.plans.mgm import Mgm
 
     m = Mgm(Data(numbers(spark, sf_dir)))
-    return spark.createDataFrame([(c, round(float(a), 4), round(float(b), 4)) for c, a, b in zip(m.xs, m.mean, m.sd, strict=True)], "name string, mean double, sd double")
+    return spark.createDataFrame([(c, round(float(a), 3), round(float(b), 3)) for c, a, b in zip(m.xs, m.mean, m.sd, strict=True)], "name string, mean double, sd double")
 
 
 @query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from ({NUMBERS_SQL})" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
