@@ -1,9 +1,14 @@
 """Toxicity by weak supervision.
 
-Voters are a fixed lexicon and patterns, and words and word beginnings that labelled training rows
-single out. Their votes and pairs of votes are counted over all documents; a generative label model
-takes from these counts each voter's accuracy and which voters are correlated, and gives posterior
-labels; a logistic regression on word features learns the posteriors and scores every whole text.
+1. Voters are lexicons, patterns, and words and word beginnings that labelled training rows single
+   out; each says "toxic" or "clean" of a text, or abstains.
+2. All documents are voted on. A generative label model is fitted to the votes alone, by expectation
+   maximisation over all documents: how often each voter votes on toxic and on clean ones, and which
+   voters are correlated within a class; those are joined in a tree, each given its parent.
+3. A logistic regression on word features learns the model's posteriors of labelled and unlabelled
+   documents and scores every whole text. Gold labels find words, set where the label model starts
+   from and what a small part of its counts is, and shift the scores so that the threshold fits them;
+   they are never votes.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagwright.llm.common import kept_by_worker
+from dagwright.llm.common import kept_by_worker, written
 
 #: Insults of everyday English, German, French and Spanish.
 LEXICON = {
@@ -28,12 +33,32 @@ LEXICON = {
     "fr": "idiot imbécile connard salaud ordure minable abruti débile",
     "es": "idiota imbécil estúpido basura asqueroso inútil escoria payaso",
 }
-#: Patterns over a whole text.
-PATTERNS = {"insulting you": r"(?i)\byou(?:'re| are) (?:such )?an? \w+", "get lost": r"(?i)\b(?:shut up|get lost|go to hell)\b"}
+#: Words of civil talk, which vote "clean".
+CIVIL = {
+    "en": "please thanks thank sorry welcome kindly appreciate",
+    "de": "bitte danke entschuldigung willkommen gerne",
+    "fr": "merci pardon bienvenue volontiers",
+    "es": "gracias perdón bienvenido favor",
+}
+#: Patterns over a whole text that vote "toxic", and that vote "clean": strings of which the text in lower case has one, and the pattern.
+PATTERNS = {
+    "insulting you": (("you are", "you're"), r"(?i)\byou(?:'re| are) (?:such )?an? \w+"),
+    "get lost": (("shut up", "get lost", "go to hell"), r"(?i)\b(?:shut up|get lost|go to hell)\b"),
+    "exclamations": (("!!!",), r"!{3,}"),
+    "shouting": (("!",), r"(?:\b[A-Z]{3,}\b\W+){4}"),
+}
+CLEAN_PATTERNS = {
+    "address": (("://", "www.", "@"), r"(?i)\bhttps?://|\bwww\.|[a-z0-9]@[a-z0-9]"),
+    "licence": (("copyright", "licensed", "license", "rights reserved"), r"(?i)\b(?:copyright|licen[cs]ed? under|all rights reserved)\b"),
+}
 STRIPPED = ".,;:!?\"'()[]{}<>|*#$%&+=/\\-_~`^@0123456789…“”„«»¡¿"
 PREFIXES = (4, 5, 6)
-#: Labelled rows that voters and the classifier are fitted on at most; they bound the voters and features.
+#: Labelled rows that voters are found on, and as many unlabelled ones with them that the classifier is fitted on,
+#: at most; they bound the voters and features.
 MOST_ROWS = 4000
+#: Rounds of expectation maximisation, documents that the labelled rows' vote rates count as, and the correlation
+#: within a class from which two voters are joined.
+ROUNDS, ANCHOR, CORRELATED = 8, 50.0, 0.1
 
 
 def words(text: str) -> set[str]:
@@ -68,30 +93,36 @@ class Finder:
 
 @dataclasses.dataclass
 class Voters:
-    """Fixed and found voters; each votes toxic or abstains."""
+    """Fixed and found voters; each votes or abstains."""
 
     found: list[str]
 
     def names(self) -> list[str]:
-        return [*LEXICON, *PATTERNS, *self.found]
+        return [*LEXICON, *PATTERNS, *self.found, *(f"civil {x}" for x in CIVIL), *CLEAN_PATTERNS]
+
+    def toxic(self) -> int:
+        """Voters that vote "toxic"; they come first."""
+        return len(LEXICON) + len(PATTERNS) + len(self.found)
 
     def bind(self):
-        fixed = {w: i for i, lang in enumerate(LEXICON) for w in LEXICON[lang].split()}
-        every = sorted({w for x in LEXICON.values() for w in x.split()})
-        finder = Finder([*every, *(f for f in self.found if f not in fixed)])
-        own = {}
+        names, own = self.names(), defaultdict(list)
         for i, lang in enumerate(LEXICON):
             for w in LEXICON[lang].split():
-                own.setdefault(finder.at[w], []).append(i)
-        base = len(LEXICON) + len(PATTERNS)
-        for i, f in enumerate(self.found):
-            own.setdefault(finder.at[f], []).append(base + i)
-        patterns = [(len(LEXICON) + i, re.compile(p)) for i, p in enumerate(PATTERNS.values())]
-
-        def vote(text: str) -> set[int]:
-            out = {v for f in finder(text) for v in own[f]}
-            out.update(i for i, p in patterns if p.search(text))
-            return out
+                own[w].append(i)
+        for i, f in enumerate(self.found, len(LEXICON) + len(PATTERNS)):
+            own[f].append(i)
+        for i, lang in enumerate(CIVIL, self.toxic()):
+            for w in CIVIL[lang].split():
+                own[w].append(i)
+        finder = Finder(list(own))
+        of = [own[f] for f in own]
+        patterns = [(names.index(n), hints, re.compile(p)) for n, (hints, p) in (PATTERNS | CLEAN_PATTERNS).items()]
+
+        def vote(text: str) -> list[int]:
+            out = {v for f in finder(text) for v in of[f]}
+            low = text.lower()
+            out.update(i for i, hints, p in patterns if any(h in low for h in hints) and p.search(text))
+            return sorted(out)
 
         return vote
 
@@ -128,76 +159,140 @@ def find_voters(texts: list[str], labels: np.ndarray) -> tuple[list[str], list[s
     return out, [f for _, _, f in sorted(scored)]
 
 
-def moments(docs: DataFrame, text: str, voters: Voters) -> tuple[int, np.ndarray]:
-    """Documents, and how many each pair of voters votes on, over all documents."""
-    k, key = len(voters.names()), f"voters{hash(tuple(voters.found))}"
+def vote_table(docs: DataFrame, text: str, voters: Voters) -> DataFrame:
+    """`votes` (which voters vote, sorted) and `n`, of how many documents: all of them, each counted once."""
+    key = f"voters{hash(tuple(voters.found))}"
 
-    def counted(batches):
+    def voted(batches):
         vote = kept_by_worker(key, "vote", voters.bind)
-        n, total = 0, np.zeros((k, k), np.int64)
         for b in batches:
-            n += b.num_rows
-            for t in b[0].to_pylist():
-                v = sorted(vote(t or ""))
-                if v:
-                    total[np.ix_(v, v)] += 1
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"i": pa.array([-1, *i.tolist()], pa.int32()), "j": pa.array([-1, *j.tolist()], pa.int32()), "n": pa.array([n, *total[i, j].tolist()], pa.int64())})
-
-    got = docs.select(F.col(f"`{text}`")).mapInArrow(counted, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    out, n = np.zeros((k, k)), 0
-    for r in got:
-        if r.i < 0:
-            n = int(r.n)
-        else:
-            out[r.i, r.j] = r.n
-    return n, out
+            yield pa.RecordBatch.from_arrays([pa.array([vote(t or "") for t in b[0].to_pylist()], pa.list_(pa.int32()))], ["votes"])
+
+    found = docs.select(F.col(f"`{text}`")).mapInArrow(voted, "votes array<int>")
+    return written(found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
 
 
 @dataclasses.dataclass
 class LabelModel:
-    """Votes given the class: rates of toxic and clean documents, and voters' correlations within a class."""
+    """Rates of votes given the class (0 clean, 1 toxic), and for voters with a parent in the tree given its vote too."""
 
     rate: float
-    toxic: np.ndarray
-    clean: np.ndarray
-    correlation: np.ndarray
-
-    def posterior(self, votes: set[int], label: int | None = None, trust: float = 0.98) -> float:
-        """Probability of toxic given votes and, if there is one, a label, a voter that is right with probability trust."""
-        on = np.zeros(len(self.toxic), bool)
-        on[list(votes)] = True
-        share = 1 / (1 + self.correlation[:, on].sum(axis=1))  # voters that go together share one vote
-        one = np.where(on, np.log(self.toxic / self.clean) * share, 0.05 * np.log((1 - self.toxic) / (1 - self.clean)))
-        # an abstention says little, as a voter knows one language, so its weight is small
-        score = math.log(self.rate / (1 - self.rate)) + float(one.sum())
-        if label is not None:
-            score += (2 * label - 1) * math.log(trust / (1 - trust))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
-
-
-def fit_label_model(n: int, pairs: np.ndarray, first_toxic: np.ndarray, first_clean: np.ndarray, rate: float, anchor: float = 0.05, correlated: float = 0.1) -> LabelModel:
-    """From counts of pairs over all documents, anchored at rates among labelled rows.
-
-    For voters that are independent given the class, covariance is rate * (1 - rate) * d_i * d_j,
-    where d is the difference of the two rates; pairs whose covariance departs from that by
-    `correlated` in units of their deviations are correlated and left out of the next fit.
+    #: [class, voter]
+    votes: np.ndarray
+    #: Parents, -1 of none, and [class, parent votes, voter].
+    parent: np.ndarray
+    given: np.ndarray
+
+    def log_odds(self, votes) -> float:
+        """Of toxic, given who votes; abstentions tell as well, by how often a voter votes on each class."""
+        on = np.zeros(len(self.parent), int)
+        on[list(votes)] = 1
+        i, up = np.arange(len(on)), np.maximum(self.parent, 0)
+        rates = np.where(self.parent >= 0, self.given[:, on[up], i], self.votes)
+        each = np.where(on == 1, np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0])))
+        return math.log(self.rate / (1 - self.rate)) + float(each.sum())
+
+    def posterior(self, votes) -> float:
+        """Probability of toxic, given who votes."""
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.log_odds(votes)))))
+
+
+def expected(table: DataFrame, model: LabelModel) -> np.ndarray:
+    """[class, voter, voter]: documents of a class on which both vote, by the model's posteriors, over all documents;
+    the diagonal has one voter alone, and a last row and column of ones all documents."""
+    k = len(model.parent)
+
+    def counted(batches):
+        total = np.zeros((2, k + 1, k + 1))
+        for b in batches:
+            for votes, n in zip(b["votes"].to_pylist(), b["n"].to_pylist(), strict=True):
+                p, at = model.posterior(votes), [*votes, k]
+                total[:, np.array(at)[:, None], at] += n * np.array([1 - p, p])[:, None, None]
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in at), pa.array(total[at], pa.float64())], ["c", "i", "j", "n"])
+
+    out = np.zeros((2, k + 1, k + 1))
+    for r in table.mapInArrow(counted, "c int, i int, j int, n double").groupBy("c", "i", "j").agg(F.sum("n").alias("n")).collect():  # voters squared at most
+        out[r.c, r.i, r.j] = r.n
+    return out
+
+
+def fitted(counts: np.ndarray, start: LabelModel, parent: np.ndarray, anchor: float) -> LabelModel:
+    """The model of expected counts and of `anchor` documents of each class that vote as `start` says."""
+    k = len(parent)
+    n = counts[:, k, k]
+    votes = (np.stack([np.diag(c)[:k] for c in counts]) + anchor * start.votes) / (n + anchor)[:, None]
+    up, i = np.maximum(parent, 0), np.arange(k)
+    both = counts[:, up, i]
+    with_parent = (both + anchor * start.votes * votes[:, up]) / (counts[:, up, up] + anchor * votes[:, up])
+    without = (counts[:, i, i] - both + anchor * start.votes) / (n[:, None] - counts[:, up, up] + anchor)
+    given = np.clip(np.stack([without, with_parent], axis=1), 1e-6, 1 - 1e-6)
+    rate = (n[1] + anchor * start.rate) / (n.sum() + anchor)
+    return LabelModel(float(np.clip(rate, 1e-4, 0.5)), np.clip(votes, 1e-6, 1 - 1e-6), parent, given)
+
+
+def correlations(counts: np.ndarray) -> np.ndarray:
+    """The larger of two voters' correlations within the classes; 0 where a class has too few votes to tell it from chance."""
+    k = counts.shape[1] - 1
+    out = np.zeros((k, k))
+    for c in counts:
+        n = max(c[k, k], 1e-9)
+        mean = np.diag(c)[:k] / n
+        cov = c[:k, :k] / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(mean * (1 - mean), 0))
+        rho = cov / np.maximum(np.outer(sd, sd), 1e-12)
+        out = np.maximum(out, np.where((np.minimum.outer(mean, mean) * n < 20) | (rho < 4 / math.sqrt(n)), 0, rho))
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def tree(weight: np.ndarray, least: float) -> np.ndarray:
+    """Parents in a maximum spanning forest of the pairs of at least that weight; -1 of a root."""
+    k = len(weight)
+    parent, near = np.full(k, -1), [[] for _ in range(k)]
+    group = list(range(k))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    pairs = np.argwhere(np.triu(weight, 1) >= least)
+    for i, j in sorted(map(tuple, pairs), key=lambda p: (-weight[p], p)):
+        if root(i) != root(j):
+            group[root(j)] = root(i)
+            near[i].append(j)
+            near[j].append(i)
+    seen: set[int] = set()
+    for r in range(k):
+        todo = [r] if r not in seen else []
+        while todo:
+            x = todo.pop()
+            seen.add(x)
+            for y in near[x]:
+                if y not in seen:
+                    parent[y] = x
+                    todo.append(y)
+    return parent
+
+
+def fit_label_model(table: DataFrame, rate: float, toxic: np.ndarray, clean: np.ndarray, rounds: int = ROUNDS, anchor: float = ANCHOR, correlated: float = CORRELATED) -> LabelModel:
+    """Expectation maximisation over a vote table, from given rates of votes on toxic and clean documents.
+
+    The first rounds take voters as independent given the class; those that prove correlated are then
+    joined in a tree for the other rounds. `anchor` documents of each class keep the given rates, so that
+    the classes cannot change places.
     """
-    mean = np.diag(pairs) / max(n, 1)
-    cov = pairs / max(n, 1) - np.outer(mean, mean)
-    scale = rate * (1 - rate)
-    d = d0 = first_toxic - first_clean
-    deviation = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-    free = ~np.eye(len(d), dtype=bool)
-    for _ in range(20):
-        rho = (cov - scale * np.outer(d, d)) / np.outer(deviation, deviation)
-        use = free & (np.abs(rho) < correlated)
-        d = np.clip(((use * cov) @ (scale * d) + anchor * scale * d0) / ((use @ (scale * d) ** 2) + anchor * scale), -1, 1)
-    rho = (cov - scale * np.outer(d, d)) / np.outer(deviation, deviation) * free
-    small = 1 / (n + 2) + 1e-4
-    clean = np.clip(mean - rate * d, small, 1 - small)
-    toxic = np.clip(clean + d, small, 1 - small)
-    return LabelModel(rate, toxic, clean, np.where(rho >= correlated, np.minimum(rho, 1), 0))
+    votes = np.clip(np.stack([clean, toxic]), 1e-6, 1 - 1e-6)
+    none = np.full(votes.shape[1], -1)
+    start = model = LabelModel(rate, votes, none, np.stack([votes, votes], axis=1))
+    for _ in range(rounds // 2):
+        counts = expected(table, model)
+        model = fitted(counts, start, none, anchor)
+    parent = tree(correlations(expected(table, model)), correlated)
+    for _ in range(rounds - rounds // 2):
+        model = fitted(expected(table, model), start, parent, anchor)
+    return model
 
 
 @dataclasses.dataclass
@@ -218,7 +313,7 @@ class Model:
         return scored(text)
 
 
-def logistic(rows: list[set[int]], target: np.ndarray, k: int, ridge: float = 0.02, steps: int = 12) -> tuple[np.ndarray, float]:
+def logistic(rows: list, target: np.ndarray, k: int, ridge: float = 0.02, steps: int = 12) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton's method on the cross-entropy with soft targets and a ridge penalty."""
     x = np.zeros((len(rows), k + 1), np.float32)
     x[:, k] = 1
@@ -242,19 +337,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS) -> Model:
+def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, most_rows: int) -> DataFrame:
+    """`t` and `label` of at most most_rows labelled documents that are not held out, by the hash of their id.
+
+    Of labels or documents of one id the least counts; null ids have no label.
+    """
+    named = labels.select(F.col(f"`{doc_id}`").alias("label_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and label_id is not null")
+    named = named.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("label").alias("label"))
+    chosen = named.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
+    own = docs.select(F.col(f"`{doc_id}`").alias("label_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    # most_rows ids are broadcast at most; repeated ids meet in partial minima
+    return own.join(F.broadcast(chosen), "label_id").groupBy("label_id", "label").agg(F.min("t").alias("t")).select("t", "label")
+
+
+def others(docs: DataFrame, doc_id: str, text: str, voters: Voters, names: list[str], most_rows: int) -> list[tuple[list[int], list[int]]]:
+    """Votes and features of at most most_rows documents that are not held out, by the hash of id and text, with or without a label."""
+    key = f"others{hash((tuple(voters.found), tuple(names)))}"
+    own = docs.where(~held_out(F.col(f"`{doc_id}`"))).select(F.col(f"`{text}`").alias("t"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("h"))
+    cut = own.select("h").orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
+
+    def made(batches):
+        vote, finder = kept_by_worker(key, "both", lambda: (voters.bind(), Finder(names)))
+        for b in batches:
+            t = [x or "" for x in b["t"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f(x) for x in t], pa.list_(pa.int32())) for f in (vote, lambda x: sorted(finder(x)))), b["h"]], ["v", "f", "h"])
+
+    if cut is None:
+        return []
+    got = own.where(F.col("h") <= cut).mapInArrow(made, "v array<int>, f array<int>, h long").dropDuplicates(["h"]).orderBy("h").limit(most_rows)
+    return [(list(r.v), list(r.f)) for r in got.collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, threshold: float = 0.7) -> Model:
     """Fits voters, label model and classifier.
 
-    labels has doc_id and toxic (0 or 1). Voters and classifier take at most most_rows labelled rows
-    that are not held out, by the hash of their id; vote counts take all documents. Texts of one
-    content count once; labels that are null, and documents without one, only count for the votes.
+    labels has doc_id and toxic (0 or 1). Words are found on at most most_rows labelled rows that are not
+    held out, and the classifier is fitted on the posteriors of these and of as many other rows that are
+    not held out; the label model is fitted on the votes on all documents. Labels that are null or
+    neither 0 nor 1 count for none. Without labels of both kinds the fixed voters have weak given rates.
     """
-    named = labels.select(F.col(doc_id).alias("label_id"), F.col("toxic").cast("int").alias("label")).where("label is not null").dropDuplicates(["label_id"])
-    train = docs.where(~held_out(F.col(f"`{doc_id}`"))).select(F.col(f"`{doc_id}`").alias("label_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    chosen = named.where(~held_out(F.col("label_id"))).orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
-    rows = train.join(F.broadcast(chosen), "label_id").select("t", "label").collect()  # most_rows ids are broadcast at most
     seen = {}
-    for r in rows:
+    for r in sampled(docs, labels, doc_id, text, most_rows).collect():
         seen.setdefault(r.t, r.label)
     texts, y = list(seen), np.array(list(seen.values()), float)
     found, passed = find_voters(texts, y)
@@ -264,17 +387,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     k, rate = len(voters.names()), float(np.clip((y.sum() + 1) / (len(y) + 20), 0.01, 0.5))
     on = np.zeros((len(texts), k))
     for i, v in enumerate(votes):
-        on[i, list(v)] = 1
-    # lexicon voters that labelled rows never show keep a weak prior
-    toxic = ((on * y[:, None]).sum(axis=0) + 0.05) / (y.sum() + 1)
-    clean = ((on * (1 - y)[:, None]).sum(axis=0) + 0.005) / ((1 - y).sum() + 1)
-    n, pairs = moments(docs, text, voters)
-    model = fit_label_model(n, pairs, toxic, clean, rate)
-    target = np.array([model.posterior(v, int(c)) for v, c in zip(votes, y, strict=True)])
+        on[i, v] = 1
+    # voters that labelled rows never show keep a weak prior
+    says_toxic = np.arange(k) < voters.toxic()
+    toxic = ((on * y[:, None]).sum(axis=0) + np.where(says_toxic, 0.05, 0.02)) / (y.sum() + 1)
+    clean = ((on * (1 - y)[:, None]).sum(axis=0) + np.where(says_toxic, 0.005, 0.05)) / ((1 - y).sum() + 1)
+    model = fit_label_model(vote_table(docs, text, voters), rate, toxic, clean)
     names = list(dict.fromkeys([*found, *sorted({w for x in LEXICON.values() for w in x.split()}), *passed]))
     finder = Finder(names)
-    w, b = logistic([finder(t) for t in texts], target, len(names))
-    return Model(names, w, b)
+    own = [finder(t) for t in texts]
+    more = others(docs, doc_id, text, voters, names, most_rows)
+    target = np.array([model.posterior(v) for v in [*votes, *(v for v, _ in more)]])
+    w, b = logistic([*own, *(f for _, f in more)], target, len(names))
+    return Model(names, w, b + shift([b + sum(w[i] for i in f) for f in own], y, threshold))
+
+
+def shift(z: list[float], y: np.ndarray, threshold: float) -> float:
+    """What scores are moved by so that the threshold parts labelled rows best: the middle of the range that does, 0 if any will do."""
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    order = np.argsort(-np.array(z), kind="stable")
+    z, y = np.array(z)[order], y[order]
+    hits = np.cumsum(y)
+    last = np.append(z[1:] < z[:-1], True)
+    f1 = np.where(last, 2 * hits / (np.arange(1, len(y) + 1) + y.sum()), 0)
+    i = int(f1.argmax())
+    cut = (z[i] + z[i + 1]) / 2 if i + 1 < len(z) else z[i] - 1
+    return math.log(threshold / (1 - threshold)) - float(cut)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
