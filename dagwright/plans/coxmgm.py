@@ -13,6 +13,7 @@ import numpy as np
 
 from dagwright.functions.regression import running, strata_cuts
 from dagwright.operators.dataset import Data
+from dagwright.operators.survival import likelihood_of_rows
 from dagwright.plans.graph import UNDIRECTED, Graph
 from dagwright.plans.mgm import Mgm
 
@@ -23,6 +24,17 @@ def five(lam) -> tuple[float, ...]:
     return tuple(lam * 5 if len(lam) == 1 else lam)
 
 
+def groups_of(data: Data) -> tuple[list[tuple[str, str, list[int]]], list[int]]:
+    """Name, kind and places of the effects of each variable that is not censored, and the design columns in these places."""
+    groups, cols = [], []
+    for v in data.variables:
+        if v.kind != "censored":
+            own = data.columns[v.name]
+            groups.append((v.name, v.kind, list(range(len(cols), len(cols) + len(own)))))
+            cols += own
+    return groups, cols
+
+
 class CoxTerm:
     """Mean negative partial log-likelihood (Breslow's form of ties, risk sets by stratum) of one censored variable, with group penalties."""
 
@@ -33,12 +45,7 @@ class CoxTerm:
         self.cuts = strata_cuts(s)
         ends = np.append(np.flatnonzero((np.diff(t) != 0) | (np.diff(s) != 0)), len(m) - 1)
         self.last = np.repeat(ends, np.diff(np.append(-1, ends)))
-        self.groups, cols = [], []
-        for v in data.variables:
-            if v.kind != "censored":
-                own = data.columns[v.name]
-                self.groups.append((v.name, v.kind, list(range(len(cols), len(cols) + len(own)))))
-                cols += own
+        self.groups, cols = groups_of(data)
         x = m[:, cols]
         sd = x.std(axis=0)
         self.x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
@@ -77,12 +84,71 @@ class CoxTerm:
         return b, self.smooth(b)[0]
 
 
-def parts(data: Data) -> tuple[Mgm, dict[str, CoxTerm]]:
+class CoxRows:
+    """The same term where rows are not held locally: proximal Newton steps, a pass over the rows each."""
+
+    def __init__(self, data: Data, name: str):
+        self.groups, cols = groups_of(data)
+        self.n, self.k = data.n, len(cols)
+        self.loglik = likelihood_of_rows(*data.cox_rows(name, cols), efron=False)
+
+    def sums(self, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        ll, grad, hess = self.loglik(b)
+        return -ll / self.n, -grad / self.n, hess / self.n
+
+    def smooth(self, b: np.ndarray) -> tuple[float, np.ndarray]:
+        return self.sums(b)[:2]
+
+    def penalties(self, continuous: float, discrete: float) -> list[tuple[float, list[int]]]:
+        return [(continuous if kind == "continuous" else discrete * math.sqrt(len(own)), own) for _, kind, own in self.groups]
+
+    def least(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, penalties: list[tuple[float, list[int]]]) -> np.ndarray:
+        """Where the quadratic of gradient g and information h at b, with the penalties, is least."""
+        big = max(float(np.linalg.eigvalsh(h)[-1]), 1e-12)
+        x, y, t = b.copy(), b.copy(), 1.0
+        for _ in range(20_000):
+            new = y - (g + h @ (y - b)) / big
+            for lam, own in penalties:
+                n = float(np.linalg.norm(new[own]))
+                new[own] *= max(0.0, 1 - lam / big / n) if n > 0 else 0.0
+            if (y - new) @ (new - x) > 0:  # restart the momentum
+                t = 1.0
+            t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            moved = float(np.linalg.norm(new - x))
+            x, y, t = new, new + (t - 1) / t_new * (new - x), t_new
+            if moved < 1e-10:
+                break
+        return x
+
+    def learn(self, continuous: float, discrete: float, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        b = np.zeros(self.k) if start is None else start.copy()
+        penalties = self.penalties(continuous, discrete)
+        if not self.k:
+            return b, self.smooth(b)[0]
+        cost = lambda v: sum(lam * float(np.linalg.norm(v[own])) for lam, own in penalties)
+        f, g, h = self.sums(b)
+        for _ in range(100):
+            d = self.least(b, g, h, penalties) - b
+            if np.linalg.norm(d) < 1e-6:  # so near that the quadratic is the loss
+                return b + d, f + float(g @ d + d @ h @ d / 2)
+            gain, t = float(g @ d) + cost(b + d) - cost(b), 1.0
+            while True:
+                new = b + t * d
+                f_new, g_new, h_new = self.sums(new)
+                if f_new + cost(new) <= f + cost(b) + 1e-4 * t * gain + 1e-12 or t < 1e-6:
+                    break
+                t /= 2
+            b, f, g, h = new, f_new, g_new, h_new
+        return b, f
+
+
+def parts(data: Data) -> tuple[Mgm, dict[str, CoxTerm | CoxRows]]:
     censored = [v.name for v in data.variables if v.kind == "censored"]
-    return Mgm(data.without(censored)), {c: CoxTerm(data, c) for c in censored}
+    term = CoxRows if data.local is None else CoxTerm
+    return Mgm(data.without(censored)), {c: term(data, c) for c in censored}
 
 
-def fit(model: Mgm, terms: dict[str, CoxTerm], data: Data, lam: tuple[float, ...], start=None) -> tuple[Graph, tuple, float, int]:
+def fit(model: Mgm, terms: dict[str, CoxTerm | CoxRows], data: Data, lam: tuple[float, ...], start=None) -> tuple[Graph, tuple, float, int]:
     got = model.learn(lam[:3], start and start[0])
     g = Graph(data.names(), UNDIRECTED, dict(got.graph.marks), algorithm="CoxMGM", params={"lambda": list(lam)})
     loss, count, effects = got.loss, got.count, {}
