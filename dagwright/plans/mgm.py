@@ -1,7 +1,9 @@
 """Mixed graphical models: pseudolikelihood of Gaussian and categorical variables with group penalties.
 
-Loss and gradients are sums over rows, one pass for each evaluation; the accelerated proximal
-gradient itself works on parameters, whose number depends on the columns alone.
+The conditionals of continuous variables follow from moments, one pass for all fits. Those of discrete
+ones are sums over rows: a pass gives their loss, gradient and information, and the accelerated proximal
+gradient works on parameters alone until the next pass. Where the information would have more than
+`INFORMATION` numbers, each evaluation of loss or gradient is a pass.
 """
 
 from __future__ import annotations
@@ -9,12 +11,16 @@ from __future__ import annotations
 import dataclasses
 import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 
 from dagwright.operators.dataset import Data
 from dagwright.plans.graph import UNDIRECTED, Graph
 
+#: Numbers in the information of the discrete variables' conditionals at most.
+INFORMATION = 2_000_000
+
 
 @dataclasses.dataclass
 class Fitted:
@@ -34,7 +40,7 @@ class Mgm:
     def __init__(self, data: Data, scale: tuple[np.ndarray, np.ndarray] | None = None):
         if any(v.kind == "censored" for v in data.variables):
             raise ValueError("a mixed graphical model has no censored variables")
-        self.data, self.held = data, None
+        self.data, self.held, self._moments = data, None, None
         self.xs = [v.name for v in data.variables if v.kind == "continuous"]
         self.ds = [v.name for v in data.variables if v.kind == "discrete"]
         self.x = [data.columns[v][0] for v in self.xs]
@@ -148,16 +154,108 @@ class Mgm:
         ph[self.own] = 0
         return self.join([a, np.maximum(b, 1e-6), B, th, ph, c]), total
 
-    def learn(self, lam: tuple[float, float, float], start: np.ndarray | None = None, eps: float = 1e-5, most: int = 500) -> Fitted:
+    def moments(self) -> np.ndarray:
+        """Of 1, the scaled continuous variables and all levels, as means over rows."""
+        if self._moments is None:
+            w = 1 + self.p + self.L
+
+            def passed(m):
+                z = np.hstack([np.ones((len(m), 1)), *self.blocks(m)])
+                return (z.T @ z).ravel()
+
+            self._moments = self.data.sum_rows(passed, w * w).reshape(w, w) / max(1, self.data.n)
+        return self._moments
+
+    def gaussian(self, v: np.ndarray) -> tuple[float, np.ndarray]:
+        """What the continuous variables' conditionals add to `smooth`, from moments."""
+        a, b, B, th, _, _ = self.split(v)
+        m, p = self.moments(), self.p
+        fit = np.vstack([a[None], B, th.T]) / b
+        res = fit.copy()
+        res[1 : 1 + p] -= np.eye(p)
+        mr = m @ res
+        squares = np.einsum("is,is->s", res, mr)
+        gB = mr[1 : 1 + p].T
+        gB = gB + gB.T
+        np.fill_diagonal(gB, 0)
+        zero = np.zeros(self.shapes[4])
+        return float(-0.5 * np.log(b).sum() + 0.5 * (b * squares).sum()), self.join([mr[0], -0.5 / b + 0.5 * squares - np.einsum("is,is->s", fit, mr), gB, mr[1 + p :].T, zero, np.zeros(self.L)])
+
+    def own_columns(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Levels of each discrete variable, and those of the others."""
+        every = np.arange(self.L)
+        return [(every[a:b], np.delete(every, np.s_[a:b])) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+
+    def information_size(self) -> int:
+        return sum((1 + self.p + self.L - k) ** 2 * k * (k + 1) // 2 for k in self.levels)
+
+    def effects(self, v: np.ndarray) -> list[np.ndarray]:
+        """Of each discrete variable the effects of 1, the continuous variables and others' levels on its levels."""
+        _, _, _, th, ph, c = self.split(v)
+        return [np.vstack([c[None, own], th[:, own], ph[np.ix_(others, own)]]) for own, others in self.own_columns()]
+
+    def softmax(self, v: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Loss of the discrete variables' conditionals; and of each its effects, their gradient and information, in one pass."""
+        if not self.levels:
+            return 0.0, []
+        effects, columns, p = self.effects(v), self.own_columns(), self.p
+        sizes = [e.size + len(e) ** 2 * e.shape[1] * (e.shape[1] + 1) // 2 for e in effects]
+        local = self.data.local is not None
+
+        def passed(m):
+            if local:
+                self.held = self.held or self.blocks(m)
+            x, d = self.held if local else self.blocks(m)
+            loss, out = 0.0, []
+            for w, (own, others) in zip(effects, columns, strict=True):
+                z = np.hstack([np.ones((len(x), 1)), x, d[:, others]])
+                eta = z @ w
+                top = eta.max(axis=1, keepdims=True)
+                prob = np.exp(eta - top)
+                total = prob.sum(axis=1, keepdims=True)
+                prob /= total
+                loss += float((np.log(total) + top).sum() - (eta * d[:, own]).sum())
+                out.append((z.T @ (prob - d[:, own])).ravel())
+                for j in range(len(own)):
+                    for k in range(j, len(own)):
+                        out.append((z.T @ (z * (prob[:, j] * ((j == k) - prob[:, k]))[:, None])).ravel())
+            return np.concatenate([[loss], *out])
+
+        got = self.data.sum_rows(passed, 1 + sum(sizes)) / max(1, self.data.n)
+        found, at = [], 1
+        for w, size in zip(effects, sizes, strict=True):
+            r, k = w.shape
+            g, own = got[at : at + w.size].reshape(r, k), iter(got[at + w.size : at + size].reshape(-1, r, r))
+            h = np.zeros((r, k, r, k))
+            for i in range(k):
+                for j in range(i, k):
+                    h[:, i, :, j] = block = next(own)
+                    h[:, j, :, i] = block.T
+            found.append((w, g, h.reshape(r * k, r * k)))
+            at += size
+        return float(got[0]), found
+
+    def near(self, at: tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]], v: np.ndarray) -> tuple[float, np.ndarray]:
+        """The discrete variables' loss at v by its second order around where `softmax` was asked, and its gradient."""
+        f, p = at[0], self.p
+        th, ph, c = np.zeros(self.shapes[3]), np.zeros(self.shapes[4]), np.zeros(self.L)
+        for (w, g, h), now, (own, others) in zip(at[1], self.effects(v), self.own_columns(), strict=True):
+            d = (now - w).ravel()
+            hd = h @ d
+            f += float(g.ravel() @ d + d @ hd / 2)
+            slope = g + hd.reshape(w.shape)
+            c[own], th[:, own], ph[np.ix_(others, own)] = slope[0], slope[1 : 1 + p], slope[1 + p :]
+        return f, self.join([np.zeros(self.p), np.zeros(self.p), np.zeros(self.shapes[2]), th, ph + ph.T, c])
+
+    def descend(self, smooth: Callable[[np.ndarray, bool], tuple[float, np.ndarray]], x: np.ndarray, lam: tuple[float, float, float], eps: float, most: int) -> tuple[np.ndarray, float]:
         """Accelerated proximal gradient with backtracking and restarts; it ends when steps are small and edges stay."""
-        x = self.first.copy() if start is None else start.copy()
         y, t, big, still, edges = x.copy(), 1.0, 1.0, 0, None
-        f_x, last = self.smooth(x, slope=False)[0], math.inf
+        f_x, last = smooth(x, False)[0], math.inf
         for _ in range(most):
-            f, g = self.smooth(y)
+            f, g = smooth(y, True)
             while True:
                 new, pen = self.prox(y - g / big, 1 / big, lam)
-                f_new, d = self.smooth(new, slope=False)[0], new - y
+                f_new, d = smooth(new, False)[0], new - y
                 if f_new <= f + float((self.half * g) @ d) + big / 2 * float((self.half * d) @ d) + 1e-12 or big > 1e8:
                     break
                 big *= 2
@@ -174,7 +272,46 @@ class Mgm:
             still, edges = (still + 1 if now == edges else 0), now
             if move < eps and still >= 3:
                 break
-        return Fitted(self.graph(x, lam), x, f_x, self.count(x))
+        return x, f_x
+
+    def learn(self, lam: tuple[float, float, float], start: np.ndarray | None = None, eps: float = 1e-5, most: int = 500) -> Fitted:
+        """Proximal Newton steps, a pass each, until they are small; without room for their information, first-order steps."""
+        x = self.first.copy() if start is None else start.copy()
+        if self.information_size() > INFORMATION:
+            x, f = self.descend(self.smooth_of_data, x, lam, eps, most)
+            return Fitted(self.graph(x, lam), x, f, self.count(x))
+        penalty = lambda v: self.prox(v, 0.0, lam)[1]
+        at = self.softmax(x)
+        f, edges = self.gaussian(x)[0] + at[0], None
+        for _ in range(most):
+
+            def model(v: np.ndarray, slope: bool, at=at) -> tuple[float, np.ndarray]:
+                if (self.split(v)[1] <= 0).any():
+                    return math.inf, np.zeros_like(v)
+                (f1, g1), (f2, g2) = self.gaussian(v), self.near(at, v)
+                return f1 + f2, g1 + g2
+
+            new, f_new = self.descend(model, x, lam, eps / 100, 20 * most)
+            move = float(np.linalg.norm(new - x)) / max(1.0, float(np.linalg.norm(x)))
+            now = self.edge_set(new)
+            if move < eps and now == edges:  # so near that the model is the loss
+                x, f = new, f_new
+                break
+            gain, t = f_new + penalty(new) - f - penalty(x), 1.0
+            while True:
+                tried = x + t * (new - x)
+                there = self.softmax(tried)
+                f_tried = self.gaussian(tried)[0] + there[0]
+                if f_tried + penalty(tried) <= f + penalty(x) + 1e-4 * t * min(gain, 0.0) + 1e-12 or t < 1e-6:
+                    break
+                t /= 2
+            x, f, at, edges = tried, f_tried, there, now
+            if not self.levels:  # the model is the loss
+                break
+        return Fitted(self.graph(x, lam), x, f, self.count(x))
+
+    def smooth_of_data(self, v: np.ndarray, slope: bool) -> tuple[float, np.ndarray]:
+        return self.smooth(v, slope=slope)
 
     def strengths(self, v: np.ndarray) -> np.ndarray:
         """Of each pair of variables, the continuous ones first, in the upper triangle."""
