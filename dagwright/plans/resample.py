@@ -255,4 +255,6 @@ def search_cv(data: Data, alphas: list[float] = (0.001, 0.01, 0.05, 0.1), rules:
     rows = [{"lambda": k[0], "alpha": k[1], "orientRule": k[2], "size": statistics.fmean(z for _, z in v)} | summary([s for s, _ in v]) for k, v in scores.items()]
     rows.sort(key=lambda r: (r["size"], r["alpha"], -(r["lambda"] or 0), r["orientRule"]))
     learn = lambda r: run(data, initial=None if r["lambda"] is None else Mgm(data).learn(triple(r["lambda"])).graph, rule=r["orientRule"], alpha=r["alpha"])
-    return {"rows": rows, "min": learn(min(rows, key=lambda r: r["mean"])), "1se": learn(rows[one_se(rows)])}
+    best, se = min(rows, key=lambda r: r["mean"]), rows[one_se(rows)]
+    graph = learn(best)
+    return {"rows": rows, "min": graph, "1se": graph if se is best else learn(se)}
