@@ -28,6 +28,8 @@ from dagwright.llm.windows import bucket_edges, rolling, split_words, starts, te
 CHUNK_BYTES, RANGE_HASHES, BLOCK = 2 << 20, 1 << 20, 256
 #: Shingles that are sampled at once, and bytes of weighted sets that one task compares, about.
 SAMPLED, SET_BYTES = 8192, 4 << 20
+#: Shingles of others that a text is compared with at once.
+MET = 1 << 17
 #: Keys that are broadcast at most: those of more than one row in so many.
 MOST_HOT = 10_000
 #: Shingle hashes are cut to 48 bits, six bytes each; a sampling table has 2**16 draws.
@@ -110,6 +112,22 @@ def similarity_of(s1: np.ndarray, w1: np.ndarray, s2: np.ndarray, w2: np.ndarray
     return low / (float(w1.sum(dtype=np.float64)) + float(w2.sum(dtype=np.float64)) - low)
 
 
+def shared(s: np.ndarray, w: np.ndarray, every: np.ndarray, who: np.ndarray, wt: np.ndarray, texts: int) -> np.ndarray:
+    """The weight that a set has in common with each of `texts` sets, whose shingles, owners and weights stand by shingle.
+
+    Some shingles at a time, as a very common one meets all sets.
+    """
+    a, b = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+    ends, at, low = np.cumsum(b - a), 0, np.zeros(texts)
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - (b - a)[at] + MET, "right")))
+        n = (b - a)[at:to]
+        met = np.repeat(a[at:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        low += np.bincount(who[met], np.minimum(wt[met], np.repeat(w[at:to].astype(np.float64), n)), texts)
+        at = to
+    return low
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, similarity: float, bands: int, rows: int, chunk_bytes: int) -> DataFrame:
     """doc_id, tid (of its word sequence), and for texts that may have near copies, once a chunk, bands and weighted shingles."""
     n, size = text_size(docs, text)
@@ -265,9 +283,7 @@ def rest(bucket: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float)
             return x
 
         for i in range(len(s)):
-            a, b = np.searchsorted(every, s[i], "left"), np.searchsorted(every, s[i], "right")
-            at = np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange((b - a).sum())
-            low = np.bincount(who[at], np.minimum(wt[at], np.repeat(w[i].astype(np.float64), b - a)), len(s))
+            low = shared(s[i], w[i], every, who, wt, len(s))
             hit = low >= similarity * (total + total[i] - low)
             hit[: i + 1] = False
             if cross:
