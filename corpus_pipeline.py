@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagwright.llm import near_dedup, packing, pii, substring, toxicity
-from dagwright.llm.common import written
+from dagwright.llm.common import FILE_BYTES, FILE_ROWS, pieces, stored, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = written(docs.select(F.struct(*each(docs)).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
     classes = near_dedup.near_dedup(keyed.select("at", "row.text"), doc_id="at").select(F.col("doc_id").alias("at"), "class_id")
-    classes = written(classes.join(keyed.select("at", "row.doc_id"), "at"), "classes")
+    classes = written(classes.join(keyed.select("at", "row.doc_id"), "at"), "classes", pieces(keyed.count(), FILE_ROWS))
     kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at"))["at"].alias("at"))
     gone = classes.join(kept, "at", "left_anti").select("at")
-    return keyed.join(gone, "at", "left_anti").select("row.*")
+    return keyed.join(gone, "at", "left_anti").select("row.*").coalesce(pieces(stored(keyed), FILE_BYTES))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Sessions whose tables are removed when the program ends.
 SESSIONS: set[str] = set()
+#: Rows of a few numbers, and stored bytes, that make one file of an intermediate table, about.
+FILE_ROWS, FILE_BYTES = 1 << 16, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +39,16 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read back. Tables go with the session, or with drop()."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read back. Tables go with the session, or with drop().
+
+    `files` is how many files its rows fill at most. Without Hadoop's native library an executor starts a process
+    to set the mode of each file, checksum and folder, and all the executor's memory counts twice until that
+    process runs its program; so a small table is not left in as many files as there are shuffle partitions.
+    """
     spark = df.sparkSession
     at = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df if files is None else df.coalesce(files)
     df.write.option("compression", "zstd").parquet(at)
     if spark.sparkContext.applicationId not in SESSIONS:
         SESSIONS.add(spark.sparkContext.applicationId)
@@ -56,6 +64,13 @@ def removed(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored(table: DataFrame) -> int:
+    """Bytes of the files of a table that written() has returned."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables that written() has returned and that nothing reads any more."""
     for t in tables:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagwright.llm.common import drop, kept_by_worker, pieces, text_size, written
+from dagwright.llm.common import FILE_BYTES, FILE_ROWS, drop, kept_by_worker, pieces, stored, text_size, written
 from dagwright.llm.components import components
 from dagwright.llm.windows import bucket_edges, rolling, split_words, starts, texts_of
 
@@ -193,25 +193,28 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     they bear its class_id. Extra columns are not read; an empty table gives an empty table.
     """
     t = written(signatures(docs, doc_id, text, k, similarity, bands, rows, chunk_bytes), "signatures")
+    n = t.count()
     texts = t.where("band is not null")
-    bands_ = written(texts.select("tid", F.explode("band").alias("key")).distinct(), "bands")
+    bands_ = written(texts.select("tid", F.explode("band").alias("key")).distinct(), "bands", pieces(n * bands, FILE_ROWS))
+    banded = bands_.count()
     full = bands_.groupBy("key").agg(F.min("tid").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    bucket = written(with_values(bands_, full, "key", "m", bands_.count()).where("tid <> lead"), "buckets")
-    pairs = written(bucket.select("lead", "tid").distinct(), "pairs")
+    bucket = written(with_values(bands_, full, "key", "m", banded).where("tid <> lead"), "buckets", pieces(banded, FILE_ROWS))
+    pairs = written(bucket.select("lead", "tid").distinct(), "pairs", pieces(bucket.count(), FILE_ROWS))
     asked = pairs.select("tid").union(pairs.select("lead")).distinct()
-    sets = written(texts.select("tid", "shingles", "w", (F.octet_length("shingles") + F.octet_length("w")).cast("long").alias("bytes")).join(asked, "tid", "left_semi").dropDuplicates(["tid"]), "sets")
+    sets = written(texts.select("tid", "shingles", "w", (F.octet_length("shingles") + F.octet_length("w")).cast("long").alias("bytes")).join(asked, "tid", "left_semi").dropDuplicates(["tid"]), "sets", pieces(stored(t), FILE_BYTES))
     links = verified(pairs, sets, similarity)
-    comp = components(links)
+    linked = links.count()
+    comp = components(links, linked)
     more = rest(bucket, comp, sets, similarity)
     if not more.isEmpty():
-        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-    by_text = written(t.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", "n", F.coalesce("comp", "tid").alias("comp")), "texts")
+        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), 2 * linked + more.count())
+    by_text = written(t.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "first", "n", F.coalesce("comp", "tid").alias("comp")), "texts", pieces(n, FILE_ROWS))
     classes = by_text.groupBy("comp").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("texts"))
-    named = written(with_values(by_text.select("tid", "n", "comp"), classes, "comp", "texts", by_text.count()).select("tid", "n", "class_id"), "classes")
+    named = written(with_values(by_text.select("tid", "n", "comp"), classes, "comp", "texts", by_text.count()).select("tid", "n", "class_id"), "classes", pieces(n, FILE_ROWS))
     drop(bands_, bucket, pairs, sets, links, more, by_text)
     ids = written(t.select("doc_id", "tid"), "ids")
     drop(t)
-    out = with_values(ids, named, "tid", "n", ids.count())
+    out = with_values(ids, named, "tid", "n", n)
     return out.select("doc_id", "class_id", "tid", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
@@ -258,7 +261,7 @@ def rest(bucket: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float)
     pair of blocks is compared in one task.
     """
     named = bucket.where("m > 2").select("key", "tid").join(comp.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", F.coalesce("comp", "tid").alias("comp"))
-    named = written(named.join(sets.select("tid", "bytes"), "tid"), "named")
+    named = written(named.join(sets.select("tid", "bytes"), "tid"), "named", pieces(bucket.count(), FILE_ROWS))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / SET_BYTES)).cast("long")
     parted = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), blocks.alias("g"), F.count(F.lit(1)).alias("m")).where("c1 <> c2").select("key", "g", "m")
     left = with_values(named, parted, "key", "m", named.count()).withColumn("block", F.pmod(F.xxhash64("tid"), "g"))

@@ -16,6 +16,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,7 @@ class SegmentIds:
     as many are kept.
     """
 
-    LIMIT, TOGETHER = 400_000, 2000
+    LIMIT, TOGETHER = 300_000, 2000
     CLOSING = ".,;:!?"
 
     def __init__(self, vocabulary: bytes, kind: str):
@@ -74,32 +75,34 @@ class SegmentIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.parted:
             return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [self.unsafe(t) if UNSAFE.search(t) else t.lower().split() for t in texts]
+        words = {i: self.unsafe(t) for i, t in enumerate(texts) if UNSAFE.search(t)}
+        parts = [words[i] if i in words else t.lower().split() for i, t in enumerate(texts)]
         if len(self.ids) > self.LIMIT:
             self.ids, self.old = {}, self.ids
-        self.add(set().union(*words).difference(self.ids))
+        self.add(set().union(*parts).difference(self.ids), not words)
         get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, w)) for w in parts]
 
     @staticmethod
     def unsafe(text: str) -> list[str]:
         # the separators \x1c to \x1f are white space to str.split() only
         return [text] if re.search("[\x1c-\x1f]", text) else [w if UNSAFE.search(w) else w.lower() for w in text.split()]
 
-    def add(self, new: set[str]) -> None:
+    def add(self, new: set[str], safe: bool) -> None:
+        """Ids of new segments; safe says that none of them is unsafe."""
         ids, old, closing = self.ids, self.old, self.CLOSING
         for w in new.intersection(old):
             ids[w] = old[w]
         new = new.difference(old)
-        ended = [(w, core) for w in new if w[-1:] in closing and (core := w.rstrip(closing)) and core[-1].isalnum() and not UNSAFE.search(w)]
+        ended = [(w, core) for w in new if w[-1:] in closing and (core := w.rstrip(closing)) and core[-1].isalnum() and (safe or not UNSAFE.search(w))]
         new = new.difference([w for w, _ in ended]).union([c for _, c in ended], [w[len(c) :] for w, c in ended]).difference(ids)
-        self.encode_new(list(new))
+        self.encode_new(list(new), safe)
         for w, core in ended:
             ids[w] = ids[core] + ids[w[len(core) :]]
 
-    def encode_new(self, new: list[str]) -> None:
+    def encode_new(self, new: list[str], safe: bool) -> None:
         ids = self.ids
-        letters = [w for w in new if w.isalpha() and not UNSAFE.search(w)]
+        letters = [w for w in new if w.isalpha() and (safe or not UNSAFE.search(w))]
         groups = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
         kind = "<u2" if self.code == "H" else "<u4"
         for i in range(0, len(groups), 8):
@@ -164,16 +167,15 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, room: int = 2048, do
         segments = kept_by_worker("packing", f"segments{zlib.crc32(model.value)}", lambda: SegmentIds(model.value, kind))
         last = np.array([end_id], kind).tobytes()
         for batch in batches:
-            texts = batch["text"].to_pylist()
             cuts, chars = [0], 0
-            for i, t in enumerate(texts):
-                chars += len(t)
+            for i, n in enumerate(pc.utf8_length(batch["text"]).to_pylist()):
+                chars += n
                 if chars > SLICE_CHARS:
                     cuts.append(i + 1)
                     chars = 0
-            for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 rows = {"doc_id": [], "start": [], "length": [], "crc": [], "doc_tokens": [], "shard": [], "part": [], "ids": []}
-                for d, h, ids in zip(batch["doc_id"][a:b].to_pylist(), batch["hash"][a:b].to_pylist(), segments.encode(texts[a:b]), strict=True):
+                for d, h, ids in zip(batch["doc_id"][a:b].to_pylist(), batch["hash"][a:b].to_pylist(), segments.encode(batch["text"][a:b].to_pylist()), strict=True):
                     ids = np.frombuffer(ids + last, kind)
                     for part, start in enumerate(range(0, len(ids), room)):
                         own = ids[start : start + room]

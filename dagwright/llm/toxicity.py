@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagwright.llm.common import kept_by_worker, written
+from dagwright.llm.common import FILE_ROWS, kept_by_worker, pieces, written
 
 #: Insults of everyday English, German, French and Spanish.
 LEXICON = {
@@ -169,7 +169,7 @@ def vote_table(docs: DataFrame, text: str, voters: Voters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([vote(t or "") for t in b[0].to_pylist()], pa.list_(pa.int32()))], ["votes"])
 
     found = docs.select(F.col(f"`{text}`")).mapInArrow(voted, "votes array<int>")
-    return written(found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
+    return written(found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes", pieces(docs.count(), FILE_ROWS))
 
 
 @dataclasses.dataclass
